@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import keys as K
 from ..keys import table
 from ..session import fresh_path, materialise
-from . import encode, frequency, leakage, pairs, splits
+from . import encode, frequency, leakage, markup, pairs, pii, splits
 from .codes import with_codes
 
 
@@ -43,6 +43,18 @@ def _pair_store(spark: SparkSession, d: str):
     return store
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Titles and abstracts that hold markup."""
+    rows = K.standing(table(spark, d, "papers_with_citations"), "id", "ingested_at", "title", "abstract")
+    return markup.clean_markup(rows, "id", ["title", "abstract"]).where("size(kinds) > 0").select("id", "field")
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Clean titles and abstracts, with the kinds of markup that each held."""
+    rows = K.standing(table(spark, d, "papers_with_citations"), "id", "ingested_at", "title", "abstract")
+    return markup.clean_markup(rows, "id", ["title", "abstract"]).select("id", "field", "clean", F.array_join(F.array_sort(F.map_keys("kinds")), ",").alias("kinds"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of codes on at least 4 papers and at least 3 times as often as by chance."""
     return pairs.strong(pairs.associations(_pair_store(spark, d), 4), 3).select("item_a", "item_b")
@@ -94,8 +106,18 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text").select("doc_id", F.col("item").alias("item_id")).distinct()
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of personal data in each document."""
+    return pii.redacted(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.explode("kinds").alias("kind")).distinct()
+
+
+def p10_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with placeholders for personal data."""
+    return pii.redacted(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.col("clean").alias("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = [p1_found, p1_counts, p4_found, p4_splits, p7_found, p7_pairs, p8_ids, p9_found]
+    fs = [p1_found, p1_counts, p4_found, p4_splits, p6_found, p6_clean, p7_found, p7_pairs, p8_ids, p9_found, p10_found, p10_texts]
     return {f.__name__: f for f in fs}
 
 
