@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import keys as K
 from ..keys import table
 from ..session import fresh_path, materialise
-from . import encode, frequency, leakage, markup, pairs, pii, splits
+from . import encode, frequency, leakage, markup, overlap, pairs, pii, splits
 from .codes import with_codes
 
 
@@ -36,6 +36,19 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return f.select("field", "term", "occurrences", "records", F.coalesce("mark", F.lit("")).alias("mark"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a training and an evaluation sample with four fifths of their words in common."""
+    pairs_, members = overlap.overlaps(table(spark, d, "linearised_samples"), at="ingested_at")
+    rows = overlap.expand(pairs_, members)
+    return rows.select(F.least("id_t", "id_e").alias("id_a"), F.greatest("id_t", "id_e").alias("id_b"))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation samples with a copy in training, per split and source."""
+    pairs_, members = overlap.overlaps(table(spark, d, "linearised_samples"), at="ingested_at", keep=("source",))
+    return overlap.report(pairs_, members)
+
+
 def _pair_store(spark: SparkSession, d: str):
     log = with_codes(table(spark, d, "papers_with_citations").select("id", "categories", "ingested_at"), table(spark, d, "category_aliases"), "categories", "items")
     store = pairs.open_store(spark, fresh_path(spark, "pairs"))
@@ -117,7 +130,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = [p1_found, p1_counts, p4_found, p4_splits, p6_found, p6_clean, p7_found, p7_pairs, p8_ids, p9_found, p10_found, p10_texts]
+    fs = [p1_found, p1_counts, p2_found, p2_report, p4_found, p4_splits, p6_found, p6_clean, p7_found, p7_pairs, p8_ids, p9_found, p10_found, p10_texts]
     return {f.__name__: f for f in fs}
 
 
