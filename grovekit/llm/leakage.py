@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,6 +115,11 @@ def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 def without_leaks(docs: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
     """``(key, text)`` of every document, leaked stretches removed; keys must be unique."""
     spans = found.groupBy(key).agg(F.collect_list(F.struct("first_word", "n_words")).alias("_s"))  # bounded by one text's words
-    cut = F.udf(remove_spans, "string")
     whole = docs.select(key, text).join(spans, key, "left")
-    return whole.select(key, F.when(F.col("_s").isNull(), F.col(text)).otherwise(cut(text, "_s")).alias(text))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], text: [remove_spans(t, [(s["first_word"], s["n_words"]) for s in x]) for t, x in zip(b[text], b["_s"])]})
+
+    schema = whole.select(key, text).schema
+    return whole.where(F.col("_s").isNull()).select(key, text).unionByName(whole.where(F.col("_s").isNotNull()).mapInPandas(cut, schema))
