@@ -29,7 +29,7 @@ def materialise(df: DataFrame, what: str = "step") -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: lineage is cut, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
