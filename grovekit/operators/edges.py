@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ROOT
+from ..session import materialise
 
 
 def weight() -> Column:
@@ -94,8 +95,9 @@ def removed(e: DataFrame, absolute: float = 0.0, relative: float = 1.0, loops: b
 
 def post_process(e: DataFrame, absolute: float = 0.0, relative: float = 1.0, loops: bool = True, inverses: bool = True, root: str | None = None) -> DataFrame:
     """Pruned edges; without a root, or where pruning drops it, one is attached to all nodes that nothing leads to."""
-    e = e.select("src", "dst", weight().alias("weight"))
+    e = materialise(e.select("src", "dst", weight().alias("weight")), "edges")  # every rule and the result read it
     kept = e.join(removed(e, absolute, relative, loops, inverses), ["src", "dst"], "left_anti")
+    kept = materialise(kept, "kept")
     nodes = kept.select(F.col("src").alias("id")).union(kept.select("dst")).distinct()
     if root is not None and nodes.where(F.col("id") == root).limit(1).count():
         return kept

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +10,45 @@ from ..graph import TaxoGraph
 from ..session import materialise
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, cutoff: int | None = None) -> DataFrame:
-    """``(id, depth)``: steps from the nearest of ``seeds(id)``, up to ``cutoff``.  Only the frontier is joined in each round."""
+#: Graphs of up to this many links are walked in one task (about 150 bytes a link); larger ones level by level.
+ONE_TASK_LINKS = 1_000_000
+
+
+def _walk(cutoff: int | None):
+    """Breadth-first search over one task's rows ``(src, dst)``; a row without a target is a seed."""
+    def run(batches):
+        out: dict[str, list[str]] = {}
+        front: list[str] = []
+        for b in batches:
+            for s, t in zip(b["src"].tolist(), b["dst"].tolist()):
+                if t is None:
+                    front.append(s)
+                else:
+                    out.setdefault(s, []).append(t)
+        seen = dict.fromkeys(front, 0)
+        depth = 0
+        while front and (cutoff is None or depth < cutoff):
+            depth += 1
+            new = dict.fromkeys(t for s in front for t in out.get(s, ()) if t not in seen)
+            seen.update(dict.fromkeys(new, depth))
+            front = list(new)
+        yield pd.DataFrame({"id": list(seen), "depth": list(seen.values())}).astype({"id": object, "depth": "int32"})
+
+    return run
+
+
+def bfs(edges: DataFrame, seeds: DataFrame, cutoff: int | None = None, one_task_links: int = ONE_TASK_LINKS) -> DataFrame:
+    """``(id, depth)``: steps from the nearest of ``seeds(id)``, up to ``cutoff``.
+
+    A large graph is searched level by level, with the frontier alone joined to the links; a small one in one task.  Ids are
+    strings; null ends are no links.
+    """
     e = materialise(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
-    seen = front = materialise(seeds.select("id").where("id is not null").distinct().withColumn("depth", F.lit(0)), "front")
+    start = seeds.select("id").where("id is not null").distinct()
+    if e.count() <= one_task_links and (first := materialise(start, "front")).count() <= one_task_links:
+        rows = e.unionByName(first.select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst")))
+        return rows.coalesce(1).mapInPandas(_walk(cutoff), "id string, depth int")
+    seen = front = materialise(start.withColumn("depth", F.lit(0)), "front")
     depth = 0
     while cutoff is None or depth < cutoff:
         depth += 1
