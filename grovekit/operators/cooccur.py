@@ -30,7 +30,7 @@ def scored(pairs: DataFrame, cells: DataFrame, value: str) -> DataFrame:
     return pairs.join(cells.select("l", "r", F.col(value).alias("score")), ["l", "r"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def concept_factors(cells: DataFrame, value: str, k: int, seed: int = 0, rounds: int = 4, extra: int = 8) -> tuple[DataFrame, DataFrame]:
+def concept_factors(cells: DataFrame, value: str, k: int, seed: int = 0, rounds: int = 2, extra: int = 8) -> tuple[DataFrame, DataFrame]:
     """``(left, right)`` factors ``(name, vec)`` whose dot products are the rank-k approximation of the matrix of ``value``.
 
     A randomised range finder with power rounds.  The matrix stays in long form and is multiplied by joins and sums; only
