@@ -1,7 +1,7 @@
 """Signed deltas and the persistent, hash-bucketed counts they are merged into.
 
-A change log holds every delivered version of every record.  Consecutive versions of one record give a signed delta:
-``+1`` for what the newer version holds, ``-1`` for what the older one held, and nothing where both hold the same.
+Records are delivered in batches, some of them more than once.  What a batch changes of a record gives a signed delta:
+``+1`` for what its new version holds, ``-1`` for what the known one held, and nothing where both hold the same.
 Deltas of any number of batches add up to the counts over the standing versions, so a batch costs what it changes and
 not what the collection holds.
 """
@@ -16,18 +16,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def changes_of_log(log: DataFrame, key: Sequence[str], at: str, items: str) -> DataFrame:
-    """``(key.., new, old)`` for each version of a record that differs from the one before it; old is null for the first."""
-    w = Window.partitionBy(*key).orderBy(F.col(at).asc_nulls_first(), F.xxhash64(items))
-    return (
-        log.withColumn("_n", F.row_number().over(w)).withColumn("_old", F.lag(items).over(w))
-        .where((F.col("_n") == 1) | ~F.col(items).eqNullSafe(F.col("_old")))
-        .select(*key, F.col(items).alias("new"), F.when(F.col("_n") > 1, F.col("_old")).alias("old"), (F.col("_n") > 1).alias("had"))
-    )
+def standing_of_log(log: DataFrame, key: Sequence[str], at: str, items: str) -> DataFrame:
+    """``(key.., items)``: the newest version of each record; null times are oldest.
+
+    Versions are thinned out before they are shuffled, so a record delivered very often is no single task.
+    """
+    w = Window.partitionBy(*key).orderBy(F.col(at).desc_nulls_last(), F.xxhash64(items))
+    return log.select(*key, at, items).withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*key, items)
+
 
+def changes_of_log(log: DataFrame, key: Sequence[str], at: str, items: str, known: DataFrame | None = None) -> DataFrame:
+    """``(key.., new, old, had)`` of a batch of delivered versions, against what is ``known`` of the records so far.
 
-def changes_of_snapshots(old: DataFrame, new: DataFrame, key: Sequence[str], items: str) -> DataFrame:
-    """The same from two snapshots with one row per record: added, changed and deleted records only."""
+    Versions within the batch that do not stand cancel out and are not looked at; records that are not in the batch are
+    unchanged; a record whose items are as known makes no row.
+    """
+    new = standing_of_log(log, key, at, items).withColumnRenamed(items, "new")
+    if known is None:
+        return new.withColumn("old", F.lit(None).cast(new.schema["new"].dataType)).withColumn("had", F.lit(False))
+    old = known.select(*key, F.col(items).alias("old"), F.lit(True).alias("had"))
+    j = new.join(old, list(key), "left").withColumn("had", F.coalesce("had", F.lit(False)))
+    return j.where(~F.col("had") | ~F.col("new").eqNullSafe(F.col("old")))
+
+
+def changes_of_snapshots(old: DataFrame | None, new: DataFrame, key: Sequence[str], items: str) -> DataFrame:
+    """The same from two snapshots with one row per record: added, changed and deleted records only; without ``old`` all are added."""
+    if old is None:
+        return new.select(*key, F.col(items).alias("new"), F.lit(None).cast(new.schema[items].dataType).alias("old"), F.lit(False).alias("had"))
     o = old.select(*[F.col(k).alias(f"o_{k}") for k in key], F.col(items).alias("old"), F.lit(True).alias("had"))
     n = new.select(*key, F.col(items).alias("new"), F.lit(True).alias("has"))
     on = [F.col(k) == F.col(f"o_{k}") for k in key]

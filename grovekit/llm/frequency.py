@@ -28,15 +28,15 @@ def _deltas(changes: DataFrame) -> DataFrame:
     return x.select("field", "term", (F.col("o") * F.col("sign")).alias("occurrences"), (F.col("r") * F.col("sign")).alias("records"))
 
 
-def term_deltas_of_log(log: DataFrame) -> DataFrame:
-    """Deltas of a change log ``(field, id, at, terms)``: versions of one record in any number, repeated ones included.
+def term_deltas_of_log(log: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Deltas of a batch ``(field, id, at, terms)`` against ``known(field, id, terms)``: any number of versions of a record.
 
     A null id is no record.  Null terms are an empty list; null elements of it must be removed by the caller.
     """
-    return _deltas(changes_of_log(log.where(F.col("id").isNotNull()), ["field", "id"], "at", "terms"))
+    return _deltas(changes_of_log(log.where(F.col("id").isNotNull()), ["field", "id"], "at", "terms", known))
 
 
-def term_deltas_of_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
+def term_deltas_of_snapshots(old: DataFrame | None, new: DataFrame) -> DataFrame:
     """Deltas between two snapshots ``(field, id, terms)`` with one row per record."""
     return _deltas(changes_of_snapshots(old, new, ["field", "id"], "terms"))
 

@@ -29,12 +29,12 @@ def _deltas(changes: DataFrame) -> DataFrame:
     return signed(changes, [], _parts).select("item_a", "item_b", F.col("sign").alias("n"))
 
 
-def pair_deltas_of_log(log: DataFrame) -> DataFrame:
-    """Deltas of a change log ``(id, at, items)``; items may repeat within a basket, a null id is no basket."""
-    return _deltas(changes_of_log(log.where(F.col("id").isNotNull()), ["id"], "at", "items"))
+def pair_deltas_of_log(log: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Deltas of a batch ``(id, at, items)`` against ``known(id, items)``; items may repeat in a basket, a null id is no basket."""
+    return _deltas(changes_of_log(log.where(F.col("id").isNotNull()), ["id"], "at", "items", known))
 
 
-def pair_deltas_of_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
+def pair_deltas_of_snapshots(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return _deltas(changes_of_snapshots(old, new, ["id"], "items"))
 
 

@@ -12,6 +12,16 @@ from ..keys import table
 from ..session import fresh_path, materialise
 from . import encode, frequency, leakage, markup, overlap, pairs, pii, splits
 from .codes import with_codes
+from .deltas import standing_of_log
+
+
+def _batches(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A log's rows up to the middle of its times, and those after it, as two deliveries."""
+    t = F.unix_micros(F.col("at").cast("timestamp"))
+    lo, hi = log.agg(F.min(t), F.max(t)).first()
+    middle = ((lo or 0) + (hi or 0)) // 2
+    late = F.coalesce(t > middle, F.lit(False))
+    return log.where(~late), log.where(late)
 
 
 def _frequency_store(spark: SparkSession, d: str):
@@ -21,7 +31,10 @@ def _frequency_store(spark: SparkSession, d: str):
     papers = papers.select(F.lit("categories").alias("field"), "id", F.col("ingested_at").alias("at"), "terms")
     store = frequency.open_store(spark, fresh_path(spark, "frequency"))
     for log in (paths, papers):
-        store.merge(frequency.term_deltas_of_log(log))
+        early, late = _batches(log)
+        known = materialise(standing_of_log(early.where("id is not null"), ["field", "id"], "at", "terms"), "known")
+        store.merge(frequency.term_deltas_of_snapshots(None, known))
+        store.merge(frequency.term_deltas_of_log(late, known))
     return store
 
 
@@ -52,7 +65,10 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 def _pair_store(spark: SparkSession, d: str):
     log = with_codes(table(spark, d, "papers_with_citations").select("id", "categories", "ingested_at"), table(spark, d, "category_aliases"), "categories", "items")
     store = pairs.open_store(spark, fresh_path(spark, "pairs"))
-    store.merge(pairs.pair_deltas_of_log(log.select("id", F.col("ingested_at").alias("at"), "items")))
+    early, late = _batches(log.select("id", F.col("ingested_at").alias("at"), "items"))
+    known = materialise(standing_of_log(early.where("id is not null"), ["id"], "at", "items"), "known")
+    store.merge(pairs.pair_deltas_of_snapshots(None, known))
+    store.merge(pairs.pair_deltas_of_log(late, known))
     return store
 
 

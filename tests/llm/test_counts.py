@@ -48,6 +48,19 @@ def test_log_with_late_repeated_and_null_rows(spark):
     assert {r.mark for r in frequency.marked(frequency.frequencies(store)).collect()} == {"rare"}
 
 
+def test_batches_against_what_is_known(spark):
+    rng = random.Random(21)
+    schema = "field string, id string, at timestamp, terms array<string>"
+    store = frequency.open_store(spark, fresh_path(spark, "t"), 4)
+    now = {}
+    for day in range(1, 5):
+        batch = [("f", f"r{rng.randrange(8)}", D(2020, 1, day, h), [f"t{rng.randrange(5)}" for _ in range(rng.randrange(4))]) for h in range(10)]
+        known = snapshot(spark, now) if now else None
+        store.merge(frequency.term_deltas_of_log(spark.createDataFrame(batch, schema), known))
+        now |= {i: t for _, i, _, t in batch}
+        assert counts(store) == brute(now)
+
+
 def test_only_touched_buckets_are_rewritten(spark):
     store = frequency.open_store(spark, fresh_path(spark, "t"), 64)
     store.merge(frequency.term_deltas_of_snapshots(snapshot(spark, {}), snapshot(spark, {f"r{i}": [f"t{i}"] for i in range(50)})))
