@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ROOT
 from ..session import materialise
+from .ranks import numbered
 
 
 def weight() -> Column:
@@ -37,18 +38,9 @@ def weaker_inverses(e: DataFrame) -> DataFrame:
     return e.join(back, ["src", "dst"]).where("back > weight").select("src", "dst")
 
 
-def _ranked(e: DataFrame) -> DataFrame:
-    """With ``rank``: place by (weight, src, dst) among all edges, from 1.
-
-    Edges are totalled by weight and source first, so what is ordered as a whole is one row for each weight and for each
-    (weight, source); the edges themselves are ranked within these only.
-    """
-    per = e.groupBy("weight", "src").agg(F.count(F.lit(1)).alias("n"))
-    by_weight = per.groupBy("weight").agg(F.sum("n").alias("n"))
-    below = by_weight.withColumn("below", F.coalesce(F.sum("n").over(Window.orderBy("weight").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("weight", "below")
-    ahead = per.withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("weight").orderBy("src").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("weight", "src", "ahead")
-    within = F.row_number().over(Window.partitionBy("weight", "src").orderBy("dst"))
-    return e.withColumn("_in", within).join(ahead, ["weight", "src"]).join(below, "weight").withColumn("rank", F.col("below") + F.col("ahead") + F.col("_in")).drop("_in", "ahead", "below")
+def ranked(e: DataFrame) -> DataFrame:
+    """With ``rank``: place by (weight, src, dst) among all edges, from 1."""
+    return numbered(e, "rank", "weight", "src", "dst").withColumn("rank", F.col("rank") + 1)
 
 
 def below_percentile(e: DataFrame, p: float) -> DataFrame:
@@ -57,7 +49,7 @@ def below_percentile(e: DataFrame, p: float) -> DataFrame:
     if p == 1:
         return e.select("src", "dst")
     total = e.agg(F.floor(F.count(F.lit(1)) * F.lit(float(p))).alias("k")).withColumn("_one", F.lit(1))  # one row
-    return _ranked(e).withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").where("rank <= k").select("src", "dst")
+    return ranked(e).withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").where("rank <= k").select("src", "dst")
 
 
 def outside_nucleus(e: DataFrame, p: float) -> DataFrame:
@@ -123,7 +115,7 @@ def non_edges(titles: DataFrame, e: DataFrame, factor: int = 10, seed: int = 0)
     if not want:
         return have.limit(0)
     spark = t.sparkSession
-    number = _numbered(t)
+    number = numbered(t, "n", "title")
     draws = spark.range(min(n * n, 3 * (want + m) + 1000)) if want + m < n * n // 2 else spark.range(n * n)
     slot = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n * n)) if want + m < n * n // 2 else F.col("id")
     pairs = draws.select(slot.alias("slot")).distinct().select("slot", F.floor(F.col("slot") / n).cast("long").alias("i"), (F.col("slot") % n).alias("j"))
@@ -131,10 +123,3 @@ def non_edges(titles: DataFrame, e: DataFrame, factor: int = 10, seed: int = 0)
     b = number.select(F.col("n").alias("j"), F.col("title").alias("dst"))
     free = pairs.join(a, "i").join(b, "j").join(have, ["src", "dst"], "left_anti")
     return free.orderBy(F.xxhash64("slot", F.lit(seed + 1)), "slot").limit(want).select("src", "dst")
-
-
-def _numbered(t: DataFrame, parts: int = 64) -> DataFrame:
-    """``(title, n)`` with n from 0, by hash part and title."""
-    t = t.withColumn("_p", F.pmod(F.xxhash64("title"), F.lit(parts)))
-    off = t.groupBy("_p").count().withColumn("off", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "off")
-    return t.withColumn("r", F.row_number().over(Window.partitionBy("_p").orderBy("title"))).join(F.broadcast(off), "_p").select("title", (F.col("r") - 1 + F.col("off")).alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def node_pages(cats: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(found, missing)`` of ``cats(id, pages)``: (node_id, page_id, pos, title, abstract) in list order, and references without a page."""
@@ -40,13 +42,7 @@ def text_batches(pages: DataFrame, key: str, text: str, size: int = 1000, parts:
 
     Keys are numbered from counts by range, so no task orders all of them.
     """
-    rows = pages.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
-    ranged = rows.repartitionByRange(parts, "k").sortWithinPartitions("k").withColumn("_p", F.spark_partition_id())
-    from ..session import materialise
-
-    ranged = materialise(ranged, "ranged")
-    off = ranged.groupBy("_p").count().withColumn("off", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "off")
-    n = ranged.withColumn("r", F.row_number().over(Window.partitionBy("_p").orderBy("k", "t"))).join(F.broadcast(off), "_p").withColumn("n", F.col("r") - 1 + F.col("off"))
+    n = numbered(pages.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t")), "n", "k", "t", parts=parts)
     return n.groupBy(F.floor(F.col("n") / size).cast("long").alias("batch")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]), "\n").alias("text"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ROOT
-from ..operators.edges import _ranked, weight
+from ..operators.edges import ranked, weight
 
 
 def geomspace(lo: float, hi: float, n: int) -> list[float]:
@@ -39,7 +39,7 @@ def literal_search(e: DataFrame, truth: DataFrame, absolute: list[float], relati
     """
     e = e.select("src", "dst", weight().alias("weight"))
     total = e.count()
-    r = _ranked(e)
+    r = ranked(e)
     whole = Window.partitionBy("src")
     order = whole.orderBy(F.desc("weight"), "dst")
     r = r.withColumn("share", F.try_divide("weight", F.sum("weight").over(whole))).withColumn("run", F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(order))
