@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ROOT
 from ..session import materialise
-from .ranks import numbered
+from .ranks import numbered, running_sum
 
 
 def weight() -> Column:
@@ -60,12 +60,25 @@ def outside_nucleus(e: DataFrame, p: float) -> DataFrame:
     e = e.select("src", "dst", weight().alias("weight"))
     if p == 1:
         return e.select("src", "dst").limit(0)
-    whole = Window.partitionBy("src")
-    order = whole.orderBy(F.desc("weight"), "dst").rowsBetween(Window.unboundedPreceding, 0)
-    r = e.withColumn("share", F.try_divide("weight", F.sum("weight").over(whole))).withColumn("run", F.sum("share").over(order)).withColumn("n", F.row_number().over(whole.orderBy(F.desc("weight"), "dst")))
-    r = r.withColumn("cross", F.coalesce(F.min(F.when((F.col("run") > p) & ~F.isnan("run"), F.col("n"))).over(whole), F.lit(1)))
-    r = r.withColumn("limit", F.max(F.when(F.col("n") == F.col("cross"), F.col("weight"))).over(whole))
-    return r.where("weight <= limit").select("src", "dst")
+    lim = nucleus_limits(running_shares(e), [p]).select("src", F.col("limits")[0].alias("limit"))
+    return e.join(lim, "src").where("weight <= limit").select("src", "dst")
+
+
+def running_shares(e: DataFrame) -> DataFrame:
+    """With ``run``: the running share of its source's total weight, heaviest first; null where the total is zero."""
+    total = e.groupBy("src").agg(F.sum("weight").alias("total"))
+    shares = e.join(total, "src").withColumn("share", F.try_divide("weight", "total")).drop("total")
+    return running_sum(shares, "run", "src", "share", F.desc("weight"), F.asc("dst"))
+
+
+def nucleus_limits(r: DataFrame, ps: list[float]) -> DataFrame:
+    """``(src, limits)``: for each p the weight at which the running share first exceeds it (the heaviest, where none does)."""
+    def limit(p: float) -> Column:
+        if p == 1:
+            return F.lit(float("-inf"))
+        return F.coalesce(F.max(F.when((F.col("run") > p) & ~F.isnan("run"), F.col("weight"))), F.max("weight"))
+
+    return r.groupBy("src").agg(F.array(*[limit(p) for p in ps]).alias("limits"))
 
 
 def attach_root(e: DataFrame, nodes: DataFrame, root: str = ROOT) -> tuple[DataFrame, DataFrame]:

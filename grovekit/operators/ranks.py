@@ -21,3 +21,16 @@ def numbered(rows: DataFrame, name: str, *order: str, parts: int = PARTS) -> Dat
     off = ranged.groupBy("_part").count().withColumn("_ahead", ahead).select("_part", "_ahead")
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return ranged.withColumn("_place", place).join(F.broadcast(off), "_part").withColumn(name, F.col("_place") - 1 + F.col("_ahead")).drop("_part", "_place", "_ahead")
+
+
+def running_sum(rows: DataFrame, name: str, key: str, value: str, *order, parts: int = PARTS) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over the rows of the same key up to this one in ``order``.
+
+    A key that holds a large share of all rows lies in several ranges; each is summed by itself, and a key has at most
+    ``parts`` sums to add up.  Nulls add nothing.
+    """
+    ranged = materialise(rows.repartitionByRange(parts, key, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    ahead = F.sum("_sum").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    off = ranged.groupBy(key, "_part").agg(F.sum(value).alias("_sum")).withColumn("_ahead", F.coalesce(ahead, F.lit(0.0))).select(key, "_part", "_ahead")
+    here = F.sum(value).over(Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_here", here).join(off, [key, "_part"]).withColumn(name, F.col("_ahead") + F.col("_here")).drop("_part", "_here", "_ahead")

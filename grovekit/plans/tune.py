@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ROOT
-from ..operators.edges import ranked, weight
+from ..session import materialise
+from ..operators.edges import nucleus_limits, ranked, running_shares, weight
 
 
 def geomspace(lo: float, hi: float, n: int) -> list[float]:
@@ -37,20 +38,10 @@ def literal_search(e: DataFrame, truth: DataFrame, absolute: list[float], relati
     Ranks, shares and inverse edges are computed once; a kept edge is then told for which points it stays, and the root's
     new edges follow from the nodes that a point leaves without a parent.  Equal to pruning and scoring at every point.
     """
-    e = e.select("src", "dst", weight().alias("weight"))
+    e = materialise(e.select("src", "dst", weight().alias("weight")), "edges")
     total = e.count()
     r = ranked(e)
-    whole = Window.partitionBy("src")
-    order = whole.orderBy(F.desc("weight"), "dst")
-    r = r.withColumn("share", F.try_divide("weight", F.sum("weight").over(whole))).withColumn("run", F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(order))
-    limits = []
-    for p in relative:
-        if p == 1:
-            limits.append(F.lit(float("-inf")))
-            continue
-        cross = F.coalesce(F.min(F.when((F.col("run") > p) & ~F.isnan("run"), F.struct("n", "weight"))).over(whole)["weight"], F.first("weight").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        limits.append(cross)
-    r = r.withColumn("limits", F.array(*limits))
+    r = r.join(nucleus_limits(running_shares(e), relative), "src")
     back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("weight").alias("back"))
     r = r.where("src <> dst").join(back, ["src", "dst"], "left").where("back is null or back <= weight")
     cut = [total if p == 1 else math.floor(p * total) for p in absolute]
