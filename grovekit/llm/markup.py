@@ -48,7 +48,7 @@ _PARTS = [
     ("template", r"\{\{(?:[^{}]|\{\{[^{}]*\}\}|\{(?!\{)|\}(?!\}))*\}\}|\{\{(?=\w)|(?<=\w)\}\}"),
     ("wikitable", r"\{\|[\s\S]*?\n[ \t]*\|\}|\{\|[^\n]*|^[ \t]*\|[}\-+][^\n|]*$"),
     ("redirect", r"#REDIRECT\b"),
-    ("wikilink", r"\[\[[^\[\]\n]+\]\]"),
+    ("wikilink", r"\[\[[^\[\]\n]+(?:\n[^\[\]\n]+)?\]\]"),
     ("mdlink", r"!?\[[^\[\]\n]*\]\((?:[A-Za-z][\w+.-]*:|/|#|\.)[^()\s]*(?:[ \t]+\"[^\"\n]*\")?\)"),
     ("extlink", r"\[(?:https?|ftp)://[^\s\]]+(?:[ \t]+[^\]\n]*)?\]|<(?:https?|ftp|mailto):[^\s<>]+>"),
     ("heading", r"^[ \t]*={2,6}[ \t]*[^=\n][^\n]*?[ \t]*={2,6}[ \t]*$|^[ \t]{0,3}#{1,6}[ \t]+[^\s#][^\n]*$|^[^\s|>][^\n]*\n[ \t]{0,3}(?:={3,}|-{3,})[ \t]*$"),
@@ -57,7 +57,7 @@ _PARTS = [
     ("quote", r"^[ \t]{0,3}>(?:[ \t]+(?=[^\s\d=])|[ \t]*$)"),
     ("ordered", r"^[ \t]*1[.)][ \t]+\S[^\n]*(?:\n[ \t]*\d{1,3}[.)][ \t]+\S[^\n]*)+"),
     ("item", r"^[ \t]*(?:[*+-]|[*#:;]{2,5})[ \t]+(?=[^\s\d])|^[*#](?=\[\[|'')"),
-    ("strong", r"(?<![\w*])\*{2,3}(?=[^\s*])[^*\n]*?(?<=[^\s*])\*{2,3}(?![\w*])|(?<![\w_])_{2,3}(?=[^\s_])[^\n]*?(?<=[^\s_])_{2,3}(?![\w_])|(?<![\w~])~~(?=\S)[^~\n]+?(?<=\S)~~(?![\w~])|(?<![\w*\\/])\*(?=[^\s*])[^*\n]*?(?<=[^\s*])\*(?![\w*])|(?<![\w_\\/])_(?=[^\s_])[^_\n]*?(?<=[^\s_])_(?![\w_])|(?<![\w'`])'{2,5}(?=[^\s'])[^'\n]+?'{2,5}(?![\w'])"),
+    ("strong", r"(?<![\w*])\*{2,3}(?=[^\s*])[^*\n]*(?:\n[^*\n]+)?(?<=[^\s*])\*{2,3}(?![\w*])|(?<![\w_])_{2,3}(?=[^\s_])[^\n]*?(?<=[^\s_])_{2,3}(?![\w_])|(?<![\w~])~~(?=\S)[^~\n]+?(?<=\S)~~(?![\w~])|(?<![\w*\\/])\*(?=[^\s*])[^*\n]*(?:\n[^*\n]+)?(?<=[^\s*])\*(?![\w*])|(?<![\w_\\/])_(?=[^\s_])[^_\n]*?(?<=[^\s_])_(?![\w_])|(?<![\w'`])'{2,5}(?=[^\s'])[^'\n]+?'{2,5}(?![\w'])"),
     ("texquote", r"``[^`\n]+?''"),
     ("accent", r"\\(?:[\"'`^~=.](?:\{\\?[A-Za-z]\}|\\?[A-Za-z])|[cvuHrk]\{[A-Za-z]\})|\\(?:ss|ae|oe|aa|o|l|i|j|AE|OE|AA|O|L)(?:\{\}|\b)"),
     ("switch", r"\{\\(?:it|bf|em|tt|sl|sc|rm|sf|large|small|cal|itshape|bfseries|scshape)\b[ \t]*(?:[^{}]|\{[^{}]*\})*\}"),

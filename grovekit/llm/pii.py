@@ -55,6 +55,7 @@ _EMAIL = re.compile(
 #: Strings one of which every candidate of a kind holds; looked for before the patterns, as plain strings are found faster.
 _EMAIL_SIGNS = ("@", "＠", "&#64;", "%40", "(at)", "[at]", "{at}", "<at>", " dot ", " punto ", "(AT)", "[AT]", "{AT}", " DOT ")
 _ADDRESS_SIGNS = ("Street", "Road", "Lane", "Avenue", "Drive", " Close", "Court", " Way", "Boulevard", "Square", "Place", "Terrace", "Crescent", "Gardens", " St,", " St.", " St ", " St\n", " Rd", " Ave", " Blvd", " Ln", " rue ", " avenue ", " boulevard ", " place ", " chemin ", " impasse ", " allée ", " quai ", "Calle ", "Avenida ", "Avda", "Plaza ", "Paseo ", "Camino ", "Via ", "Viale ", "Piazza ", "Corso ", "Rua ", "Travessa ", "straße ", "strasse ", "weg ", "platz ", "gasse ", "allee ", "ufer ", "damm ", "str. ", "ул", "просп", "пер.")
+_ADDRESS_SIGNS += tuple(x.upper() for x in _ADDRESS_SIGNS if x.isascii())
 _TITLE_SIGNS = tuple(f"{t}{e}" for t in TITLES for e in (" ", "."))
 _DIGITS = re.compile(r"\d[\dA-Z ().\-/]{3,}[\dA-Z]")
 _NUMBER = re.compile(
@@ -63,7 +64,8 @@ _NUMBER = re.compile(
 _CODE = re.compile(r"(?<![\w./\-])[A-Z]{0,5}[ \-]?\d[A-Z0-9]*(?:[ .\-]\d[A-Z0-9]*){0,6}(?:[ \-][A-Z])?(?![\w])")
 _STREET = r"(?:Street|Road|Lane|Avenue|Drive|Close|Court|Way|Boulevard|Square|Place|Terrace|Crescent|Gardens|St|Rd|Ave|Blvd|Ln)"
 _ADDRESS = re.compile(
-    rf"(?:(?:Flat|Apt|Apartment|Unit|Suite)\.?[ ]\d+[A-Z]?,[ ])?\b\d{{1,5}}[A-Za-z]?[ ](?:{_CAP}[ ]){{0,4}}{_STREET}\b"
+    rf"(?:(?:Flat|Apt|Apartment|Unit|Suite)\.?[ ]\d+[A-Z]?,[ ])?\b\d{{1,5}}[A-Za-z]?[ ](?:{_CAP}[ ]){{0,4}}{_STREET}\b(?:\.?,[ ](?:Flat|Apt|Apartment|Unit|Suite)\.?[ ]\d+[A-Z]?\b)?"
+    rf"|\b\d{{1,5}}[A-Z]?[ ](?:(?!(?:THE|AN|OF|ON|IN|AND|TO|FOR|BY|PER|AT|FROM|WITH)[ ])[A-ZÀ-Þ’'-]{{2,}}[ ]){{1,4}}{_STREET.upper()}\b(?:\.?,[ ](?:FLAT|APT|APARTMENT|UNIT|SUITE)\.?[ ]\d+[A-Z]?\b)?"
     r"|\b\d{1,4}(?:[ ]?(?:bis|ter))?,?[ ](?:rue|avenue|boulevard|place|chemin|impasse|allée|quai)[ ](?:de[ ]la[ ]|de[ ]l[’']|de[ ]|du[ ]|des[ ]|d[’'])?[A-ZÀ-Þ][\w’'\-]+"
     r"|\b(?:Calle|Avenida|Avda\.?|Plaza|Paseo|Camino|Via|Viale|Piazza|Corso|Rua|Travessa)[ ](?:de[ ]la[ ]|de[ ]|del[ ])?[A-ZÀ-Þ][\w’'\-]+,?[ ](?:n\.?º?[ ]?)?\d{1,5}[A-Za-z]?\b"
     r"|\b[A-ZÄÖÜ][\wäöüß\-]*(?:straße|strasse|weg|platz|gasse|allee|ufer|damm|str\.)[ ]\d{1,4}[ ]?[a-z]?\b"
@@ -77,6 +79,8 @@ _CUES = {
     "name": r"thanks|merci|danke|gracias|signed|according|auskunft|author|written by|reviewed|photo|spoke|contact|name|reader|cc|note left|by|dear|regards|deliver|communication|~~~~|from|met|told|asked|saludos",
 }
 _CUE = {k: re.compile(v, re.I) for k, v in _CUES.items()}
+#: The cues that bear on a kind; others are not looked at for it.
+_CUES_OF = {"email": (), "phone": ("phone", "id", "other"), "id_number": ("phone", "id", "other"), "address": ("other", "address"), "name": ("other", "address", "name")}
 _ALNUM_PART = re.compile(r"[A-Za-z0-9]+")
 
 
@@ -153,7 +157,7 @@ def features(text: str, kind: str, a: int, z: int) -> list[float]:
     return [
         digits, letters, len(parts), len(parts[0]) if parts else 0, len(parts[-1]) if parts else 0, max(map(len, parts), default=0),
         s.startswith(("+", "tel:+")), s.startswith("00"), "(" in s, s.count("."), s.count("-"), s.count(" "), bool(re.search(r"ext|poste|x ?\d", s)), s[:1].isalpha(), s[-1:].isalpha(),
-        *[float(bool(c.search(near))) + float(bool(c.search(ahead))) for c in _CUE.values()],
+        *[float(bool(c.search(near))) + float(bool(c.search(ahead))) if k in _CUES_OF[kind] else 0.0 for k, c in _CUE.items()],
         any(w in GIVEN for w in words), bool(re.match(rf"(?:{'|'.join(TITLES)})\b", s)), capital, bool(re.search(r"\b[Tt]he $|\bthe \w+ $", ahead)), next_word in NAMED_THINGS,
         next_word.split("-")[0] in NAMED_THINGS or next_word in ("changes", "level"), behind.startswith("-"), len(domain) > 1 and tail.isalpha() and len(tail) >= 2 and len(domain[0].strip()) > 0,
         bool(re.search(r"as checksum|tokens|units|per |edition", behind)), float(bool(re.search(r"[=:(\"]\s*$", ahead))),

@@ -70,7 +70,8 @@ class _Maker:
         f = self.family()
         return self.pick([
             f"{self.n(1, 250)} {f} {self.pick(['Street', 'Road', 'Lane', 'Avenue', 'Drive', 'Close'])}", f"{self.n(1, 99)}{self.pick('ABC')} {f} Street", f"Flat {self.n(1, 30)}, {self.n(1, 200)} Old {f} Road", f"{self.n(1, 90)}, rue de {f}",
-            f"{self.n(1, 90)} rue {f}", f"Calle {f}, {self.n(1, 90)}", f"Avenida de {f} {self.n(1, 90)}", f"{f}straße {self.n(1, 90)}", f"{f}weg {self.n(1, 90)}", f"Via {f} {self.n(1, 90)}"])
+            f"{self.n(1, 90)} rue {f}", f"Calle {f}, {self.n(1, 90)}", f"Avenida de {f} {self.n(1, 90)}", f"{f}straße {self.n(1, 90)}", f"{f}weg {self.n(1, 90)}", f"Via {f} {self.n(1, 90)}",
+            f"{self.n(1, 300)} {f.upper()} {self.pick(['ROAD', 'STREET', 'AVE', 'BLVD', 'LANE'])}, APT {self.n(1, 40)}{self.pick('ABC')}", f"{self.n(1, 300)} {f} {self.pick(['Road', 'St', 'Ave'])}, Apt {self.n(1, 40)}"])
 
     def piece(self) -> tuple[str, list[tuple[str, str]]]:
         """A sentence, and the kinds and strings in it that are personal."""
@@ -106,7 +107,8 @@ class _Maker:
             thing = self.pick(["Basin", "River", "Valley", "Bay", "Mountains", "theorem", "lemma", "conjecture", "Street", "Bridge", "equation", "Lake"])
             return self.pick([
                 f"The {g} {thing} lies south of {f}.", f"By the {g} {thing}, this holds.", f"the {f} {thing} and the {f} {self.pick(['number', 'law'])}", f"{self.n(1, 9)} {self.pick(['Lane', 'Street', 'Road'])} changes per year were counted.", f"Table {self.n(1, 9)} {self.pick(['Street', 'Road'])}-level counts, by year.",
-                f"Ping @{f.lower()} about this edit.", f"at {f} the {thing} dries up", f"Near {f}, the Saint {g} {self.pick(['Church', 'Bridge'])} stands.", f"Prof or Dr in the title of {self.pick(_THINGS)}"]), []
+                f"Ping @{f.lower()} about this edit.", f"at {f} the {thing} dries up", f"Near {f}, the Saint {g} {self.pick(['Church', 'Bridge'])} stands.", f"Prof or Dr in the title of {self.pick(_THINGS)}",
+                f"{self.n(1, 90)} MAIN {self.pick(['ROAD', 'LANE'])} CHANGES PER YEAR"]), []
         return f"{self.pick(_LEADS)} {f} {self.pick(_THINGS)}, {self.pick(_THINGS)} and {self.pick(_THINGS)} of {self.family()} since {d(4)}.", []
 
 
