@@ -158,7 +158,7 @@ def features(text: str, kind: str, a: int, z: int) -> list[float]:
         digits, letters, len(parts), len(parts[0]) if parts else 0, len(parts[-1]) if parts else 0, max(map(len, parts), default=0),
         s.startswith(("+", "tel:+")), s.startswith("00"), "(" in s, s.count("."), s.count("-"), s.count(" "), bool(re.search(r"ext|poste|x ?\d", s)), s[:1].isalpha(), s[-1:].isalpha(),
         *[float(bool(c.search(near))) + float(bool(c.search(ahead))) if k in _CUES_OF[kind] else 0.0 for k, c in _CUE.items()],
-        any(w in GIVEN for w in words), bool(re.match(rf"(?:{'|'.join(TITLES)})\b", s)), capital, bool(re.search(r"\b[Tt]he $|\bthe \w+ $", ahead)), next_word in NAMED_THINGS,
+        any(w in GIVEN for w in words), bool(re.match(rf"(?:{'|'.join(TITLES)})\b", s)), capital, bool(re.search(r"\b[Tt]he $", ahead)), next_word in NAMED_THINGS,
         next_word.split("-")[0] in NAMED_THINGS or next_word in ("changes", "level"), behind.startswith("-"), len(domain) > 1 and tail.isalpha() and len(tail) >= 2 and len(domain[0].strip()) > 0,
         bool(re.search(r"as checksum|tokens|units|per |edition", behind)), float(bool(re.search(r"[=:(\"]\s*$", ahead))),
     ]

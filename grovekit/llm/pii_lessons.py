@@ -78,7 +78,7 @@ class _Maker:
         k = self.n(0, 13)
         if k <= 1:
             x = self.name()
-            return self.pick(["Thanks to {}.", "Signed, {}", "I spoke with {} on Monday.", "{} asked twice for the raw files.", "According to {}, the title is wrong.", "cc {}", "Name: {}", "({}, personal communication)", "Written by {} in spring.", "{}", "author={};", '"author": "{}",', "Merci à {} pour les photos.", "Reviewed by {} and kept.", "Nach Auskunft von {} fehlt eine Seite.", "{} disagreed with this."]).format(x), [("name", x)]
+            return self.pick(["Thanks to {}.", "Signed, {}", "I spoke with {} on Monday.", "{} asked twice for the raw files.", "According to {}, the title is wrong.", "cc {}", "Name: {}", "({}, personal communication)", "Written by {} in spring.", "{}", "author={};", '"author": "{}",', "Merci à {} pour les photos.", "Reviewed by {} and kept.", "Nach Auskunft von {} fehlt eine Seite.", "{} disagreed with this.", "more on the scans {} asked for", "the files {} left behind"]).format(x), [("name", x)]
         if k <= 2:
             x = self.email()
             return self.pick(["Write to {}.", "mail: {}", "Contact: {}", "({})", "mailto:{}?subject=page", "email={};", "{}", "Escribir a {}."]).format(x), [("email", x)]
