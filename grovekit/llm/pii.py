@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,21 @@ _AFTER_GIVEN = re.compile(rf"(?:[ ][A-Z]\.)?(?:[ ]{_FAMILY})?")
 _TITLE = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\b\.?[ ]+(?:{_CAP}(?:[ ][A-Z]\.)?(?:[ ]{_FAMILY})?|[A-Z]\.[ ]{_FAMILY}|{_FAMILY}(?:,[ ]{_CAP})?)")
 _CAPITALISED = re.compile(r"(?<![\w@.])[A-Z][a-z]{1,12}(?![\w@])")
 _BEFORE_GIVEN = re.compile(rf"(?:(?:{'|'.join(TITLES)})\b\.?[ ]+)?(?:(?!(?:Signed|Photo|Thanks|Dear|Regards|Cheers|Best|Yours|Sincerely|Contact|Author),){_FAMILY},[ ])?$")
+# A capitalised word of any script, small letters or not; an initial; words of scripts that have no capitals.
+_UPPER = r"\p{Lu}[\p{L}\p{M}’']*(?:-\p{Lu}[\p{L}\p{M}’']*)?"
+_RUN = regex.compile(rf"(?<![\p{{L}}\p{{N}}@.])(?:\p{{Lu}}\.[ ]?|{_UPPER}[ ])(?:\p{{Lu}}\.[ ]?){{0,2}}(?:{_PARTICLE}[ ])?{_UPPER}(?:[ ](?:{_PARTICLE}[ ])?{_UPPER}){{0,2}}(?![\p{{L}}\p{{N}}@])")
+_UPPER_START = regex.compile(r"(?<=[ ])\p{Lu}")
+_SPACED = re.compile(r"[ ]\S")
+_STRONG = r"signed|thanks to|thank you|(?:written|reviewed|edited|posted|checked|noted|photo|left) by|spoke with|according to|cc|author|name|reader|contact|dear|merci à|danke an|gracias a|auskunft von|auteur|autor|verfasst von|firmado(?: por)?|signé|подпись|автор|署名|作者"
+_CUED = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?i:{_STRONG}|by)\"?[ ]*[:：=,(\"]*[ ]*(?P<n>(?:\p{{Lu}}\.[ ]?){{0,2}}{_UPPER}(?:[ ](?:{_PARTICLE}[ ])?{_UPPER}){{0,3}}|\p{{Lo}}[\p{{Lo}}\p{{M}}]+(?:[ ·]\p{{Lo}}[\p{{Lo}}\p{{M}}]+){{0,3}})(?![\p{{L}}\p{{N}}@])")
+_STRONG_AHEAD = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?i:{_STRONG})\"?[ ]*[:：=,(\"]*[ ]*$")
+_NAME_BEHIND = re.compile(r"[ ]*(?:\(|,[ ]personal)|[ ](?:asked|disagreed|left behind|wrote|said|told|thinks|agreed|replied|noted that)\b")
+# Capitalised words that begin sentences and headings and no names.
+_OPENERS = frozenset("""
+a above according after against all an and another around as at auf aus because before behind below between beyond both but by das dear der des die during ein eine el en end every following for from
+her his how if im in inside la las le les los main most near no not of old on our outside over sin since some such table thanks that the their these this those to un una under une unlike until we when
+where which while whose with within without contact signed photo merci regards saint
+""".split())
 _EMAIL = re.compile(
     r"[^\W_][\w.+%\-]*@[\w\-]+(?:\.[\w\-]+)*|[^\W_][\w.+%\-]*[ ]@[ ][\w\-]+(?:\.[\w\-]+)*"
     r"|[^\W_][\w.+%\-]*[ ]?(?:\(at\)|\[at\]|\{at\}|<at>|\(@\)|&#64;|%40|＠)[ ]?[\w\-]+(?:[ ]?(?:\.|\(dot\)|\[dot\]|\{dot\})[ ]?[\w\-]+)+"
@@ -131,10 +148,37 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         if not inside(m.start()) and m.span() not in seen:
             seen.add(m.span())
             out.append(("name", *m.span()))
+    for m in _RUN.finditer(text):
+        # every run, and what is left of it without the words it begins with
+        for x in [m.start(), *(y.start() for y in _UPPER_START.finditer(text, m.start() + 1, m.end()))]:
+            if (x == m.start() or _SPACED.search(text, x, m.end())) and (x, m.end()) not in seen and not inside(x):
+                seen.add((x, m.end()))
+                out.append(("name", x, m.end()))
+    for m in _CUED.finditer(text):
+        if m.span("n") not in seen and not inside(m.start("n")):
+            seen.add(m.span("n"))
+            out.append(("name", *m.span("n")))
     return out
 
 
-FEATURES = 30
+FEATURES = 39
+
+
+def _folded(word: str) -> str:
+    """A word without accents, in lower case."""
+    return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)).lower()
+
+
+_GIVEN_FOLDED = frozenset(map(_folded, GIVEN))
+
+
+def _name_features(s: str, words: list[str], ahead: str, behind: str) -> list[float]:
+    """What tells names outside the list of given names: their form, and the words just before and after."""
+    around = [c for c in ahead + behind if c.isalpha()]
+    return [
+        any(_folded(w) in _GIVEN_FOLDED for w in words), bool(_STRONG_AHEAD.search(ahead)), bool(_NAME_BEHIND.match(behind)), len(words[0].rstrip(".")) == 1 and s[1:2] == ".", s.isupper() and len(s) > 3,
+        sum(c.isupper() for c in around) / max(1, len(around)), words[0].lower() in _OPENERS, not ahead.strip(), any(w.lower() in NAMED_THINGS for w in words) + 2 * any(w.lower() in _OPENERS for w in words[1:]),
+    ]
 
 
 def features(text: str, kind: str, a: int, z: int) -> list[float]:
@@ -161,6 +205,7 @@ def features(text: str, kind: str, a: int, z: int) -> list[float]:
         any(w in GIVEN for w in words), bool(re.match(rf"(?:{'|'.join(TITLES)})\b", s)), capital, bool(re.search(r"\b[Tt]he $", ahead)), next_word in NAMED_THINGS,
         next_word.split("-")[0] in NAMED_THINGS or next_word in ("changes", "level"), behind.startswith("-"), len(domain) > 1 and tail.isalpha() and len(tail) >= 2 and len(domain[0].strip()) > 0,
         bool(re.search(r"as checksum|tokens|units|per |edition", behind)), float(bool(re.search(r"[=:(\"]\s*$", ahead))),
+        *(_name_features(s, words, ahead, behind) if kind == "name" and words else [0.0] * 9),
     ]
 
 

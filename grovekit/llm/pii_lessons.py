@@ -16,6 +16,10 @@ _GIVEN = sorted(GIVEN)
 # Syllables of invented family and place names.
 _SYLLABLES = "ba bel cor da del fen gar ha hol in jo ka kel la lun ma mer mo na nor ol pe pol qua ra rin sa ser sol ta tor ul va ver wen yar zel zim".split()
 _THINGS = "glaciers finches manuscripts corpora synapses harbours lattices grasses archives kernels".split()
+# Given names beside the list of the generator, with accents, in other scripts, and families that go with them.
+_OTHER = "Jonathan Siobhán José Zoë Łukasz Øyvind Bjørn Renée Sören Thandiwe Nguyễn Çağla Rhiannon Gunther Percival Dorothea Anneliese Bartholomew Xochitl Wanjiru".split()
+_SCRIPTS = [("Анна", "Петрова"), ("Сергей", "Волков"), ("Νίκος", "Παππάς"), ("Ελένη", "Δήμου"), ("Ольга", "Миронова"), ("Արամ", "Սարոյան")]
+_UNCASED = ["田中太郎", "王小明", "محمد علي", "דוד כהן", "김민수", "राम शर्मा"]
 _LEADS = "Judging by growth, old|In 1485, every class of|A count of 311|This entry collects|Critics doubt that|Under stable notation,|According to the survey,|We study rare|Sin embargo, los|Die Dichte der|On a comparé 41".split("|")
 
 
@@ -46,6 +50,14 @@ class _Maker:
         t = self.pick(TITLES) + self.pick([".", "", "."])
         return self.pick([f"{g} {f}", f"{g} {f}", f"{g} {self.capitals(1)}. {f}", f"{g} {self.pick(['van', 'de', 'von'])} {f}", f"{g} {f}-{self.family()}", f"{f}, {g}", f"{t} {g} {f}", f"{t} {f}", f"{t} {f}", f"{t} {self.capitals(1)}. {f}"])
 
+    def other_name(self) -> str:
+        """A name that no list gives away."""
+        g, f = (self.pick(_OTHER), self.family()) if self.chance(0.5) else (self.family(), self.family())
+        if self.chance(0.2):
+            g, f = self.pick(_SCRIPTS)
+        i = self.capitals(1)
+        return self.pick([f"{g} {f}", f"{g} {f}", f"{g} {i}. {f}", f"{i}. {f}", f"{i}. {f}", f"{i}. {self.capitals(1)}. {f}", f"{g} {f}".upper(), f"{self.pick(_GIVEN)} {f}".upper(), f"{g} {self.pick(['van', 'de', 'von'])} {f}", f"{g} {f}-{self.family()}"])
+
     def email(self) -> str:
         f = self.family().lower()
         user = self.pick([f, f"{self.pick(_GIVEN).lower()}.{f}", f"{f}{self.n(1, 99)}", f"{f[0]}_{f}", f"{f}+list", "info", "contact"])
@@ -75,7 +87,19 @@ class _Maker:
 
     def piece(self) -> tuple[str, list[tuple[str, str]]]:
         """A sentence, and the kinds and strings in it that are personal."""
-        k = self.n(0, 13)
+        k = self.n(0, 16)
+        if k == 14:
+            x = self.other_name()
+            return self.pick(["Thanks to {}.", "Signed, {}", "I spoke with {} on Monday.", "{} asked twice for the raw files.", "According to {}, the title is wrong.", "cc {}", "Name: {}", "({}, personal communication)", "Written by {} in spring.", "author={};", '"author": "{}",', "Merci à {} pour les photos.", "Reviewed by {} and kept.", "Nach Auskunft von {} fehlt eine Seite.", "{} disagreed with this.", "more on the scans {} asked for", "the files {} left behind"]).format(x), [("name", x)]
+        if k == 15:
+            x = self.pick(_UNCASED) if self.chance(0.2) else self.family()
+            return self.pick(["Signed, {}", "signed: {}", "author={};", '"author": "{}",', "cc {}", "Written by {}.", "Reviewed by {} and kept.", "Dear {},", "Name: {}"]).format(x), [("name", x)]
+        if k == 16:
+            f, g, t = self.family(), self.family(), self.pick(_THINGS)
+            lead = self.pick("Near Following Outside Old In At Under Since After The Every".split())
+            return self.pick([
+                f"{lead} {f}, {t} meet.", f"{lead} {f} {t} and {f}", f"Die {t.capitalize()} von {f} wurden beschrieben.", f"Die Lage der {t.capitalize()} von {f} hängt ab.", f"En {f} se hallan {t}.", f"split between {t} and {f} {g} {t} of", f"{t} await {f} around {t.capitalize()} {g}.",
+                f"### END {t.upper()} ###", f"{lead} {f} {g} {t}".upper(), f"EVERY CLASS OF {t.upper()} ADMITS {f.upper()} {t.upper()}", f"shaped by {f} {t} and {g}", f"{t} bounded by {f} and {g}.", f"{t.capitalize()} {g.capitalize()}\n\n{f} {t}", f"According to {f} {t}, all is well.", f"Main {t.capitalize()}: {f} {t.capitalize()}", f"# {f} {g}\n{t} of {f}"]), []
         if k <= 1:
             x = self.name()
             return self.pick(["Thanks to {}.", "Signed, {}", "I spoke with {} on Monday.", "{} asked twice for the raw files.", "According to {}, the title is wrong.", "cc {}", "Name: {}", "({}, personal communication)", "Written by {} in spring.", "{}", "author={};", '"author": "{}",', "Merci à {} pour les photos.", "Reviewed by {} and kept.", "Nach Auskunft von {} fehlt eine Seite.", "{} disagreed with this.", "more on the scans {} asked for", "the files {} left behind"]).format(x), [("name", x)]

@@ -127,6 +127,17 @@ def test_personal_data_in_plain_cases(spark):
     assert pii.redacted(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_names_outside_the_list_of_given_names():
+    cases = {
+        "Thanks to Jonathan Reyes for it.": "Jonathan Reyes", "Reviewed by K. Lindqvist and kept.": "K. Lindqvist", "Signed, Kowalska": "Kowalska", "I spoke with José Garcia on Monday.": "José Garcia",
+        "JOHN SMITH asked twice for the raw files.": "JOHN SMITH", "Written by Сергей Волков in spring.": "Сергей Волков", "author=田中太郎;": "田中太郎",
+    }
+    got = pii.find_spans(list(cases), pii.fitted())
+    assert [[t[a:z] for k, a, z in s if k == "name"] for t, s in zip(cases, got)] == [[x] for x in cases.values()]
+    plain = ["Near Jorkagerak, readers may wait.", "### END ARTICLE ###", "Die Dichte der Gräser von Zorkovakov hängt ab.", "The Oskar Basin and the Lamdor theorem"]
+    assert not any(k == "name" for s in pii.find_spans(plain, pii.fitted()) for k, _, _ in s)
+
+
 def test_trees_learn_an_interaction():
     import numpy as np
 
