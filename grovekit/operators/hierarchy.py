@@ -274,8 +274,38 @@ def full_paths(labels: DataFrame, grafts: DataFrame) -> DataFrame:
     return out if out is not None else lab.select("node", F.array().cast("array<string>").alias("path")).limit(0)
 
 
+def ancestry(labels: DataFrame, grafts: DataFrame) -> DataFrame:
+    """``(ancestor, node)``: every node below every other one, whatever way leads there, grafts included; one row each.
+
+    A node's ancestors on one chain are all up to the deepest at which some way down to the node leaves it.  Each round takes
+    the ways that enter the chains met last, so rounds are bounded by the changes of chain on a path.  As for paths, links
+    inside a cycle are no steps.
+    """
+    lab = materialise(labels.select("node", "parent", "head", "pos"), "labels")
+    light = lab.where("parent is not null and pos = 0").select("parent", "node")
+    at = lab.select("node", "head", "pos")
+    ways = light.unionByName(grafts.select("parent", "node")).join(at.select(F.col("node").alias("parent"), F.col("head").alias("from_head"), F.col("pos").alias("from_pos")), "parent").join(at.withColumnRenamed("pos", "to_pos"), "node")
+    ways = materialise(ways.select("head", "to_pos", "from_head", "from_pos").distinct(), "ways")
+    best = new = at
+    while new.limit(1).count():
+        moved = new.join(ways, "head").where("to_pos <= pos").groupBy("node", F.col("from_head").alias("head")).agg(F.max("from_pos").alias("pos"))
+        new = materialise(moved.join(best.select("node", "head", F.col("pos").alias("was")), ["node", "head"], "left").where("was is null or was < pos").select("node", "head", "pos"), "entered")
+        best = materialise(best.unionByName(new).groupBy("node", "head").agg(F.max("pos").alias("pos")), "met")
+    above = at.select(F.col("node").alias("ancestor"), "head", F.col("pos").alias("place"))
+    return best.join(above, "head").where("place <= pos and ancestor <> node").select("ancestor", "node")
+
+
+def with_descendants(labels: DataFrame, grafts: DataFrame) -> DataFrame:
+    """``labels`` with the number of nodes below each, ``descendants``, whatever way leads there."""
+    n = ancestry(labels, grafts).groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    return labels.join(n, "node", "left").withColumn("descendants", F.coalesce("n", F.lit(0).cast("long"))).drop("n")
+
+
 def descendants(labels: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """``(ancestor, node)`` below each of ``ancestors(node)`` within the spanning forest, from the intervals; one row each."""
+    """``(ancestor, node)`` below each of ``ancestors(node)`` within the spanning forest alone, from the intervals; one row each.
+
+    :func:`ancestry` has those that grafts lead to as well.
+    """
     a = labels.join(ancestors.select("node"), "node", "left_semi").select(F.col("node").alias("ancestor"), "root", F.col("pre").alias("lo"), (F.col("pre") + F.col("size")).alias("hi"))
     b = labels.select("node", "root", "pre")
     return a.join(b, (a.root == b.root) & (b.pre > a.lo) & (b.pre < a.hi)).select("ancestor", "node")

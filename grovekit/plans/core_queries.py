@@ -36,9 +36,15 @@ def _ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_tree(spark: SparkSession, d: str) -> DataFrame:
-    """Root, depth, number of descendants and chain of each category in the spanning forest."""
-    labels, _, _ = hierarchy.label(category_links(spark, d), _ids(spark, d))
-    return labels.select("node", "parent", "root", "depth", (F.col("size") - 1).alias("descendants"), "head", "pos")
+    """Root, depth and chain of each category in the spanning forest, and its number of descendants by any way, cycles left out."""
+    labels, grafts, _ = hierarchy.label(category_links(spark, d), _ids(spark, d))
+    return hierarchy.with_descendants(labels, grafts).select("node", "parent", "root", "depth", "descendants", "head", "pos")
+
+
+def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every descendant of each category by any way, one row for each pair, cycles left out."""
+    labels, grafts, _ = hierarchy.label(category_links(spark, d), _ids(spark, d))
+    return hierarchy.ancestry(labels, grafts)
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -48,13 +54,13 @@ def p3_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_steps(spark: SparkSession, d: str) -> DataFrame:
-    """The hierarchy that the steps along all paths of samples make: root, depth and descendants of each title key."""
+    """The hierarchy that the steps along all paths of samples make: root and depth in the spanning forest, descendants of each title key by any way."""
     rows = K.standing(table(spark, d, "linearised_samples").select("id", "ingested_at", "paths"), "id", "ingested_at", "paths")
     k = rows.select(F.explode("paths").alias("p")).select(K.title_keys(F.col("p")).alias("k")).where("size(k) > 1")
     steps = F.transform(F.sequence(F.lit(1), F.size("k") - 1), lambda i: F.struct(F.element_at("k", i).alias("src"), F.element_at("k", i + 1).alias("dst")))
     links = hierarchy.clean_links(k.select(F.explode(steps).alias("s")).select("s.*"), "src", "dst")
-    labels, _, cyclic = hierarchy.label(links)
-    return labels.join(cyclic.select("node", F.lit(True).alias("on_cycle")), "node", "left").select("node", "root", "depth", (F.col("size") - 1).alias("descendants"), F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
+    labels, grafts, cyclic = hierarchy.label(links)
+    return hierarchy.with_descendants(labels, grafts).join(cyclic.select("node", F.lit(True).alias("on_cycle")), "node", "left").select("node", "root", "depth", "descendants", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
 
 
 def _topic_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +89,7 @@ def p5_topics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries():
-    fs = [p3_found, p3_tree, p3_paths, p3_steps, p5_found, p5_topics]
+    fs = [p3_found, p3_tree, p3_descendants, p3_paths, p3_steps, p5_found, p5_topics]
     return {f.__name__: f for f in fs}
 
 

@@ -99,3 +99,28 @@ def test_both_ways_of_labelling_agree(spark):
     links = links_of(spark, [(f"{rng.randrange(i)}", f"{i}") for i in range(1, 60)])
     a, b = ({tuple(r) for r in hierarchy.label(links, None, k)[0].collect()} for k in (1000, 0))
     assert a == b
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_descendants_by_any_way(spark, limit):
+    rng = random.Random(21)
+    pairs = [(f"{rng.randrange(max(0, i - 9), i):02d}", f"{i:02d}") for i in range(1, 40) for _ in range(2)]
+    labels, grafts, _ = hierarchy.label(links_of(spark, pairs), spark.createDataFrame([("zz",)], "id string"), limit)
+    want = defaultdict(set)
+    for a, b in sorted(pairs, key=lambda x: x[0], reverse=True):  # targets come after their sources in order
+        want[a] |= {b} | want[b]
+    got = [tuple(r) for r in hierarchy.ancestry(labels, grafts).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in want for b in want[a]}
+    assert {r.node: r.descendants for r in hierarchy.with_descendants(labels, grafts).collect()} == {n: len(want[n]) for n in [*(f"{i:02d}" for i in range(40)), "zz"]}
+
+
+def test_shared_children_count_for_each_parent(spark, tmp_path):
+    from grovekit.plans import core_queries
+
+    rows = [(1, [(3,)]), (2, [(3,)]), (3, [(4,)]), (4, None)]
+    spark.createDataFrame(rows, "id long, sub_categories array<struct<id:long>>").selectExpr("*", "timestamp'2024-01-01' as fetched_at").write.parquet(f"{tmp_path}/raw_categories.parquet")
+    tree = core_queries.p3_tree(spark, str(tmp_path))
+    assert {r.node: r.descendants for r in tree.collect()} == {"1": 2, "2": 2, "3": 1, "4": 0}
+    assert {tuple(r) for r in core_queries.queries()["p3_descendants"](spark, str(tmp_path)).collect()} == {("1", "3"), ("1", "4"), ("2", "3"), ("2", "4"), ("3", "4")}
+    spark.createDataFrame([("s", [["a", "c", "d"], ["b", "c"]])], "id string, paths array<array<string>>").selectExpr("*", "timestamp'2024-01-01' as ingested_at").write.parquet(f"{tmp_path}/linearised_samples.parquet")
+    assert {r.node: r.descendants for r in core_queries.p3_steps(spark, str(tmp_path)).collect()} == {"a": 2, "b": 2, "c": 1, "d": 0}
