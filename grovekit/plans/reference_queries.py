@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import keys as K
+from .. import models
 from ..functions import text as T
 from ..graph import TaxoGraph
 from ..keys import table
@@ -501,18 +502,22 @@ def hp_grid(spark, d):
 
 def _search(spark, d):
     g = materialise(nation_graph(spark, d), "graph")
-    return tune.literal_search(g, region_pairs(spark, d), *tune.grid(g.count()))
+    t = region_pairs(spark, d)
+    ends = g.select("src", "dst").unionByName(t)
+    titles = ends.select(F.col("src").alias("title")).union(ends.select("dst")).union(spark.createDataFrame([(ROOT,)], "title string"))
+    return tune.search(g, t, materialise(models.embed_titles(titles, None, models.HashEmbedder), "titles"), *tune.grid(g.count()))
 
 
 @query()
 def hp_search(spark, d):
-    """Literal scores of all 441 prunings in one plan."""
-    return _search(spark, d).select("seq", "edges", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    """Continuous and fuzzy scores of all 441 prunings, by stand-in vectors of the titles."""
+    return _search(spark, d).select("seq", "edges", *[F.round(c, 6).alias(c) for c in tune.SCORES])
 
 
 @query()
 def best_hp(spark, d):
-    return tune.best(_search(spark, d), "f1").select("seq", F.round("f1", 6).alias("f1"))
+    """The pruning of the highest continuous F1."""
+    return tune.best(_search(spark, d), "continuous_f1").select("seq", F.round("continuous_f1", 6).alias("continuous_f1"))
 
 
 @query("select max(struct_pack(f1 := f, k := k)).f1 as f1, max(struct_pack(f1 := f, k := k)).k as k from (select round(avg(l_discount), 2) as f, l_suppkey as k from lineitem group by l_suppkey)")

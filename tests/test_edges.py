@@ -116,3 +116,18 @@ def test_best(spark):
     assert tune.best(rows, "f1").first().seq == 1
     assert tuple(tune.best_rank(rows).first()) == (0.7, 9)
     assert tuple(tune.best_rank(rows.limit(0)).first()) == (0.0, 0)
+
+
+def test_search_scores_titles_that_are_alike(spark):
+    from grovekit.operators import metrics
+
+    e = df(spark, [("a", "b", 5.0), ("a", "c", 1.0), ("b", "d", 3.0), ("d", "q", 2.0)]).cache()
+    truth = df(spark, [("a2", "b2", 1.0), ("b2", "d2", 1.0)])
+    v = spark.createDataFrame([(t, x) for t, x in {"a": [1.0, 0.0, 0.1], "a2": [1.0, 0.1, 0.0], "b": [0.0, 1.0, 0.0], "b2": [0.2, 1.0, 0.0], "c": [-1.0, 0.1, 0.3], "d": [0.5, 0.0, 1.0], "d2": [0.4, 0.1, 1.0], "q": [0.1, -1.0, 0.2], edges.ROOT: [0.3, 0.3, 0.3]}.items()], "title string, embed array<double>")
+    al, rl = [0.0, 0.5], [1.0, 0.6]
+    got = tune.search(e, truth, v, al, rl).orderBy("seq").collect()
+    assert len(got) == 4 and max(r.continuous_f1 for r in got) > 0.5
+    for r in got:
+        p = edges.post_process(e, r.absolute_percentile, r.relative_percentile).select("src", "dst")
+        for kind, want in (("continuous", metrics.continuous_prf(p, truth, v).first()), ("fuzzy", metrics.fuzzy_prf(p, truth, v).first())):
+            assert [r[f"{kind}_{x}"] for x in ("precision", "recall", "f1")] == pytest.approx(list(want))
