@@ -490,6 +490,19 @@ def motif_distance(spark, d):
     return motif.distance(motif.census(_quarter(spark, d, 0)), motif.census(_quarter(spark, d, 1))).select(F.round("motif_dist", 6).alias("motif_dist"))
 
 
+@query()
+def motif_census_whole(spark, d):
+    """Triples among all nation links."""
+    return motif.census(nation_graph(spark, d))
+
+
+@query()
+def motif_distance_pruned(spark, d):
+    """Between all nation links and those that pruning leaves."""
+    g = materialise(nation_graph(spark, d), "graph")
+    return motif.distance(motif.census(g), motif.census(edges.post_process(g, 0.2, 0.9))).select(F.round("motif_dist", 6).alias("motif_dist"))
+
+
 # ---- tuning
 
 @query(f"""with {_NATION}, n as (select count(*)::double as e from g), a as (select i, case when i = 0 then 0 else 1 - pow(1 / e, (20 - (20 - i)) * 0 + (i / 20.0) * 0) end from n, range(21) t(i)),
