@@ -51,15 +51,14 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a training and an evaluation sample with four fifths of their words in common."""
-    pairs_, members = overlap.overlaps(table(spark, d, "linearised_samples"), at="ingested_at")
-    rows = overlap.expand(pairs_, members)
+    found = overlap.overlaps(table(spark, d, "linearised_samples"), at="ingested_at")
+    rows = overlap.expand(found.pairs, found.members)
     return rows.select(F.least("id_t", "id_e").alias("id_a"), F.greatest("id_t", "id_e").alias("id_b"))
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    """Evaluation samples with a copy in training, per split and source."""
-    pairs_, members = overlap.overlaps(table(spark, d, "linearised_samples"), at="ingested_at", keep=("source",))
-    return overlap.report(pairs_, members)
+    """Evaluation samples with a copy in training, per split and source, and how much of them the training split covers."""
+    return overlap.report(overlap.overlaps(table(spark, d, "linearised_samples"), at="ingested_at", keep=("source",)))
 
 
 def _pair_store(spark: SparkSession, d: str):
@@ -170,10 +169,15 @@ _PAIRS = f"""with {_CODES}, d as (select distinct id, code from codes), s as (se
 t as (select count(distinct id) n from papers_with_citations),
 p as (select a.code as item_a, b.code as item_b, count(*) as n_ab from d a join d b on a.id = b.id and a.code < b.code group by 1, 2),
 r as (select item_a, item_b, n_ab, x.n as n_a, y.n as n_b, t.n as n from p join s x on x.code = item_a join s y on y.code = item_b cross join t)"""
+_WORDS = rf"""with s as (select id, case when lower(trim(regexp_replace(split, '{_SPACE}', ' ', 'g'))) = 'train' then 1 else 2 end as side, regexp_extract_all(lower(title || ' ' || abstract), '[\p{{L}}\p{{N}}]+') as w from {_LIN} l
+  where lower(trim(regexp_replace(split, '{_SPACE}', ' ', 'g'))) in ('train', 'eval', 'test') and regexp_replace(title, '{_SPACE}', '', 'g') <> '' and regexp_replace(abstract, '{_SPACE}', '', 'g') <> ''),
+c as (select id, side, w, len(w) as n from s where len(w) > 0), x as (select id, side, n, unnest(w) as word from c), k as (select id, side, n, word, row_number() over (partition by id, word) as k from x),
+pairs as (select t.id as a, e.id as b from k t join k e on t.word = e.word and t.k = e.k and t.side = 1 and e.side = 2 and least(t.n, e.n) * 5 >= greatest(t.n, e.n) * 4 group by t.id, e.id, t.n, e.n having count(*) * 5 >= 4 * greatest(t.n, e.n))"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": f"{_WORDS} select least(a, b) as id_a, greatest(a, b) as id_b from pairs",
         "p1_found": f"{_TERMS} select field, term, mark from marked where mark <> ''",
         "p1_counts": f"{_TERMS} select field, term, occurrences, records, mark from marked",
         "p7_found": f"{_PAIRS} select item_a, item_b from r where n_ab >= 4 and n_ab::hugeint * n >= 3 * n_a::hugeint * n_b",
