@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space of any script, tabs, no-break spaces and separators included.
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
+NO_SPACE = r"[^\s\p{Z}\x1c-\x1f\x85]"
 #: A word: a maximal run of letters and digits.
 WORD = r"[\p{L}\p{N}]+"
 
@@ -23,7 +24,8 @@ def title_keys(titles: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return F.coalesce(F.regexp_replace(c, SPACE, ""), F.lit("")) == ""
+    """Null, or nothing but white space; a text is read no further than its first other sign."""
+    return ~F.coalesce(c.rlike(NO_SPACE), F.lit(False))
 
 
 def words(c: Column) -> Column:
