@@ -66,9 +66,10 @@ class BoostedTrees:
 
 
 class Calibrated:
-    """Boosted trees whose scores are turned into probabilities on held-out rows, with the threshold of the best F1 there."""
+    """Boosted trees whose scores are turned into probabilities on held-out rows, with the threshold of the best F there, in which
+    recall weighs ``beta`` times as much as precision."""
 
-    def fit(self, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> "Calibrated":
+    def fit(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, beta: float = 1.0) -> "Calibrated":
         self.trees = BoostedTrees().fit(x[~held], y[~held])
         s, t = self.trees.score(x[held]), y[held]
         a, c = 1.0, 0.0
@@ -85,10 +86,10 @@ class Calibrated:
         self.a, self.c = float(a), float(c)
         p = self.probability(x[held])
         grid = np.linspace(0.05, 0.95, 19)
-        f1 = [2 * ((p >= g) & (t == 1)).sum() / max(1, (p >= g).sum() + (t == 1).sum()) for g in grid]
-        best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-12)
+        f = [(1 + beta**2) * ((p >= g) & (t == 1)).sum() / max(1, (p >= g).sum() + beta**2 * (t == 1).sum()) for g in grid]
+        best = np.flatnonzero(np.array(f) >= max(f) - 1e-12)
         self.threshold = float(grid[best[len(best) // 2]])
-        self.f1 = float(max(f1))
+        self.best = float(max(f))
         return self
 
     def probability(self, x: np.ndarray) -> np.ndarray:

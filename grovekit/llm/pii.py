@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Sentences that the trees are fitted on.
 LESSONS = 4000
+#: Recall weighs so many times as much as precision when thresholds are set: a name left in costs more than a word taken out.
+BETA = 2.0
 
 # Given names that are common in several languages.
 GIVEN = frozenset("""
@@ -46,24 +48,27 @@ number numbers prize award map school group method survey view formation crater
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w’']*[a-zß-öø-ÿ][\w’']*(?:-[A-ZÀ-ÖØ-Þ][\w’']+)?"
 _PARTICLE = r"(?:van der|van den|van de|van|von|de la|de|del|della|di|da|dos|bin|al|el|le|la|ter|zu)"
 _FAMILY = rf"(?:{_PARTICLE}[ ])?{_CAP}"
-_AFTER_GIVEN = re.compile(rf"(?:[ ][A-Z]\.)?(?:[ ]{_FAMILY})?")
 _TITLE = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\b\.?[ ]+(?:{_CAP}(?:[ ][A-Z]\.)?(?:[ ]{_FAMILY})?|[A-Z]\.[ ]{_FAMILY}|{_FAMILY}(?:,[ ]{_CAP})?)")
-_CAPITALISED = re.compile(r"(?<![\w@.])[A-Z][a-z]{1,12}(?![\w@])")
-_BEFORE_GIVEN = re.compile(rf"(?:(?:{'|'.join(TITLES)})\b\.?[ ]+)?(?:(?!(?:Signed|Photo|Thanks|Dear|Regards|Cheers|Best|Yours|Sincerely|Contact|Author),){_FAMILY},[ ])?$")
 # A capitalised word of any script, small letters or not; an initial; words of scripts that have no capitals.
 _UPPER = r"\p{Lu}[\p{L}\p{M}’']*(?:-\p{Lu}[\p{L}\p{M}’']*)?"
 _RUN = regex.compile(rf"(?<![\p{{L}}\p{{N}}@.])(?:\p{{Lu}}\.[ ]?|{_UPPER}[ ])(?:\p{{Lu}}\.[ ]?){{0,2}}(?:{_PARTICLE}[ ])?{_UPPER}(?:[ ](?:{_PARTICLE}[ ])?{_UPPER}){{0,2}}(?![\p{{L}}\p{{N}}@])")
+_COMMA_NAME = regex.compile(rf"(?<![\p{{L}}\p{{N}}@.])(?:{_PARTICLE}[ ])?{_UPPER},[ ]{_UPPER}(?:[ ]\p{{Lu}}\.)?(?![\p{{L}}\p{{N}}@])")
 _UPPER_START = regex.compile(r"(?<=[ ])\p{Lu}")
-_SPACED = re.compile(r"[ ]\S")
-_STRONG = r"signed|thanks to|thank you|(?:written|reviewed|edited|posted|checked|noted|photo|left) by|spoke with|according to|cc|author|name|reader|contact|dear|merci à|danke an|gracias a|auskunft von|auteur|autor|verfasst von|firmado(?: por)?|signé|подпись|автор|署名|作者"
+_SPACED = re.compile(r"[ .]\S")
+# Words before and behind persons' names, in several languages.
+_STRONG = r"signed|thanks to|thank you|thanks|(?:written|reviewed|edited|posted|checked|noted|translated|compiled|text|photo|photograph|left) by|spoke (?:with|to)|talk to|according to|cc|bcc|attn|author|name|user|reader|patient|customer|speaker|contact|photo|dear|hello|hi|love|sincerely|regards|wishes|truly|merci à|danke an|gracias a|laut|selon|según|auskunft von|auteur|autor|verfasst von|firmado(?: por)?|signé|подпись|автор|署名|作者"
 _CUED = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?i:{_STRONG}|by)\"?[ ]*[:：=,(\"]*[ ]*(?P<n>(?:\p{{Lu}}\.[ ]?){{0,2}}{_UPPER}(?:[ ](?:{_PARTICLE}[ ])?{_UPPER}){{0,3}}|\p{{Lo}}[\p{{Lo}}\p{{M}}]+(?:[ ·]\p{{Lo}}[\p{{Lo}}\p{{M}}]+){{0,3}})(?![\p{{L}}\p{{N}}@])")
 _STRONG_AHEAD = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?i:{_STRONG})\"?[ ]*[:：=,(\"]*[ ]*$")
-_NAME_BEHIND = re.compile(r"[ ]*(?:\(|,[ ]personal)|[ ](?:asked|disagreed|left behind|wrote|said|told|thinks|agreed|replied|noted that)\b")
+_MARK_AHEAD = re.compile(r"(?:[\w\"][ ]?[:：=]\s*\"?|^-- ?)$")
+_PERSON_VERB = r"asked|told|met|meet|thank|thanked|called|heard|knows?|knew|saw|invited|interview(?:ed)? with|helped|emailed|letter from|house of|addressed to|letters? (?:to|for)|parcels? (?:to|for)|interview with|talk with|chat with|conversation with|neighbou?r|friend|colleague|grateful to|indebted to|but|that|what"
+_VERB_AHEAD = re.compile(rf"\b(?:{_PERSON_VERB}|\w+(?:ed|en|wn|ght|ade|ung) by|(?:send|give|hand|post|mail|write|wrote|sent|gave|bring|brought|deliver(?:ed)?|ship|forward|return)\b[^.]{{0,24}} to)[ ]$", re.I)
+_PLACE_AHEAD = re.compile(r"\b(?:in|at|near|outside|inside|of|on|around|between|north|south|east|west|visit|visited|travelled|traveled|towards|beyond|across|under|within|en|à|in der|bei|the|every|each|some|most|university|city|mount|table|figure|chapter|species|genus)[ ](?:the[ ])?$", re.I)
+_NAME_BEHIND = re.compile(r"[ ]*\((?:born|retired|\d)|,[ ](?:personal|in conversation|aged|\d{1,4}[A-Za-z]?,?[ ])|['’]s[ ]|,?[ ](?:who|asked|disagree[sd]|left|wrote|writes|said|says|told|thinks|thought|agree[sd]|replie[sd]|noted|kept|had|has|will|was born|lives|works|explained|argued|added|called|and the others)\b")
 # Capitalised words that begin sentences and headings and no names.
 _OPENERS = frozenset("""
 a above according after against all an and another around as at auf aus because before behind below between beyond both but by das dear der des die during ein eine el en end every following for from
 her his how if im in inside la las le les los main most near no not of old on our outside over sin since some such table thanks that the their these this those to un una under une unlike until we when
-where which while whose with within without contact signed photo merci regards saint
+where which while whose with within without contact signed photo merci regards saint auskunft brief nachricht steuer-id steuer id ni passport reisepass ssn dni nie notes telephone téléphone phone tel fax mobile email mail address
 """.split())
 _EMAIL = re.compile(
     r"[^\W_][\w.+%\-]*@[\w\-]+(?:\.[\w\-]+)*|[^\W_][\w.+%\-]*[ ]@[ ][\w\-]+(?:\.[\w\-]+)*"
@@ -88,12 +93,13 @@ _ADDRESS = re.compile(
     r"|\b[A-ZÄÖÜ][\wäöüß\-]*(?:straße|strasse|weg|platz|gasse|allee|ufer|damm|str\.)[ ]\d{1,4}[ ]?[a-z]?\b"
     r"|(?:ул\.|улица|просп\.|проспект|пер\.)[ ][А-Я][\w\-]+,?[ ](?:д\.[ ]?)?\d{1,4}")
 
+# Words that often stand near data of each kind.
 _CUES = {
-    "phone": r"phone|call|ring|mobile|cell|\btel|fax|téléphone|telefon|teléfono|dial|whatsapp|sms|reach|reading room|office hours|hotline",
+    "phone": r"phone|call|ring|mobile|cell|\btel|fax|téléphone|telefon|teléfono|dial|whatsapp|sms|text me|reach|hotline",
     "id": r"ssn|social security|tax id|steuer|passport|passeport|reisepass|pasaporte|\bdni\b|\bnie\b|\bnif\b|ni number|national insurance|identity|id card|ausweis|licen[cs]e|permis|insurance|taxpayer|national id|\bid no|personal no|codice fiscale|insee",
-    "other": r"isbn|issn|doi|arxiv|version|release|checksum|accession|grant|coordinates|table|figure|page|chapter|section|sampled|order|invoice|ticket|weight|score|seed|commit|hash|build|model|serial|catalogue|shelf|edition|volume|room|lot|batch|token",
-    "address": r"address|adresse|anschrift|dirección|deliver|letters|moved|lives|return to|collected|visit|ship|mail to|post to|located|residence",
-    "name": r"thanks|merci|danke|gracias|signed|according|auskunft|author|written by|reviewed|photo|spoke|contact|name|reader|cc|note left|by|dear|regards|deliver|communication|~~~~|from|met|told|asked|saludos",
+    "other": r"isbn|issn|doi|arxiv|version|release|checksum|accession|grant|coordinates|table|figure|page|chapter|section|order|invoice|ticket|weight|score|seed|commit|hash|build|model|serial|catalogue|edition|volume|lot|batch|token|value|pp\.",
+    "address": r"address|adresse|anschrift|dirección|deliver|letters|moved|lives|return to|collected|visit|ship|send|mail to|post it|post to|located|residence",
+    "name": r"thanks|merci|danke|gracias|signed|according|laut|selon|según|author|autor|auteur|written by|reviewed|edited|photo|spoke|contact|name|reader|patient|cc|by|dear|regards|wishes|sincerely|deliver|send|communication|from|met|told|asked|saludos",
 }
 _CUE = {k: re.compile(v, re.I) for k, v in _CUES.items()}
 #: The cues that bear on a kind; others are not looked at for it.
@@ -136,24 +142,23 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         out += [("address", *m.span()) for m in _ADDRESS.finditer(text)]
     inside = lambda a: any(x <= a < y for x, y in mails)
     seen = set()
-    for m in _CAPITALISED.finditer(text):
-        if m.group() in GIVEN and not inside(m.start()):
-            b = _BEFORE_GIVEN.search(text[max(0, m.start() - 48) : m.start()])
-            a = m.start() - (len(b.group()) if b else 0)
-            z = m.end() + len(_AFTER_GIVEN.match(text, m.end()).group())
-            if (a, z) not in seen:
-                seen.add((a, z))
-                out.append(("name", a, z))
     for m in _TITLE.finditer(text) if any(x in text for x in _TITLE_SIGNS) else ():
         if not inside(m.start()) and m.span() not in seen:
             seen.add(m.span())
             out.append(("name", *m.span()))
     for m in _RUN.finditer(text):
-        # every run, and what is left of it without the words it begins with
-        for x in [m.start(), *(y.start() for y in _UPPER_START.finditer(text, m.start() + 1, m.end()))]:
-            if (x == m.start() or _SPACED.search(text, x, m.end())) and (x, m.end()) not in seen and not inside(x):
-                seen.add((x, m.end()))
-                out.append(("name", x, m.end()))
+        # every run, and what is left of it without words that it begins or ends with
+        starts = [m.start(), *(y.start() for y in _UPPER_START.finditer(text, m.start() + 1, m.end()))]
+        ends = [*(y - 1 for y in starts[2:]), m.end()]
+        for x in starts:
+            for y in ends:
+                if (x, y) not in seen and _SPACED.search(text, x, y) and not inside(x):
+                    seen.add((x, y))
+                    out.append(("name", x, y))
+    for m in _COMMA_NAME.finditer(text) if "," in text else ():
+        if m.span() not in seen and not inside(m.start()):
+            seen.add(m.span())
+            out.append(("name", *m.span()))
     for m in _CUED.finditer(text):
         if m.span("n") not in seen and not inside(m.start("n")):
             seen.add(m.span("n"))
@@ -161,7 +166,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-FEATURES = 39
+FEATURES = 47
 
 
 def _folded(word: str) -> str:
@@ -172,12 +177,29 @@ def _folded(word: str) -> str:
 _GIVEN_FOLDED = frozenset(map(_folded, GIVEN))
 
 
-def _name_features(s: str, words: list[str], ahead: str, behind: str) -> list[float]:
-    """What tells names outside the list of given names: their form, and the words just before and after."""
+_NEXT = re.compile(r"[\s,]*([\w\-]+)")
+_AT = re.compile(r"@|＠|&#64;|%40|\(at\)|\[at\]|\{at\}|<at>|\(@\)| at | AT | arroba ")
+_DOT = re.compile(r"[.\s]|\(dot\)|\[dot\]|\{dot\}")
+_IS_TITLE = re.compile(rf"(?:{'|'.join(TITLES)})\b")
+_EXT = re.compile(r"ext|poste|x ?\d")
+_THE = re.compile(r"\b[Tt]he $")
+_UNITS = re.compile(r"as checksum|tokens|units|per |edition")
+_MARK = re.compile(r"[=:(\"]\s*$")
+
+
+_CAP_AHEAD = regex.compile(r"\p{Lu}[\p{L}’'.-]*[ ]$")
+_CAP_BEHIND = regex.compile(r"[ ]\p{Lu}")
+_REACH = re.compile(r"@|＠|\(at\)|\[at\]|\d{3}[ \-.]\d{3,}")
+
+
+def _name_features(s: str, words: list[str], ahead: str, behind: str, alone: bool, after: str, next_word: str) -> list[float]:
+    """What tells names outside any list: their form, and the words just before and after."""
     around = [c for c in ahead + behind if c.isalpha()]
     return [
         any(_folded(w) in _GIVEN_FOLDED for w in words), bool(_STRONG_AHEAD.search(ahead)), bool(_NAME_BEHIND.match(behind)), len(words[0].rstrip(".")) == 1 and s[1:2] == ".", s.isupper() and len(s) > 3,
         sum(c.isupper() for c in around) / max(1, len(around)), words[0].lower() in _OPENERS, not ahead.strip(), any(w.lower() in NAMED_THINGS for w in words) + 2 * any(w.lower() in _OPENERS for w in words[1:]),
+        bool(_MARK_AHEAD.search(ahead)), bool(_VERB_AHEAD.search(ahead)), bool(_PLACE_AHEAD.search(ahead)), alone,
+        bool(_CAP_AHEAD.search(ahead)), bool(_CAP_BEHIND.match(behind)), next_word in _OPENERS, bool(_REACH.search(after)),
     ]
 
 
@@ -189,23 +211,31 @@ def features(text: str, kind: str, a: int, z: int) -> list[float]:
     ahead = ahead[cut + 1 :]
     behind = text[z : z + 28].split("\n")[0]
     near = ahead[-22:]
-    parts = _ALNUM_PART.findall(s)
-    digits = sum(c.isdigit() for c in s)
-    letters = sum(c.isalpha() for c in s)
     words = s.replace(",", " ").split()
-    capital = sum(w[:1].isupper() for w in words)
-    nxt = re.match(r"[\s,]*([\w\-]+)", behind)
+    cues = [float(bool(c.search(near))) + float(bool(c.search(ahead))) if k in _CUES_OF[kind] else 0.0 for k, c in _CUE.items()]
+    nxt = _NEXT.match(behind)
     next_word = nxt.group(1).lower() if nxt else ""
-    domain = re.split(r"@|＠|&#64;|%40|\(at\)|\[at\]|\{at\}|<at>|\(@\)| at | AT | arroba ", s)
-    tail = re.split(r"[.\s]|\(dot\)|\[dot\]|\{dot\}", domain[-1].strip())[-1] if len(domain) > 1 else ""
+    if kind == "name":
+        line = not text[max(0, a - 1) : a].strip(" ") or text[a - 1] == "\n"
+        format_ = [0.0, float(len(s)), float(len(words)), *[0.0] * 6, s.count("."), s.count("-"), s.count(" "), 0.0, 0.0, 0.0]
+        own = _name_features(s, words, ahead, behind, line and not behind.strip(), text[z : z + 60], next_word) if words else [0.0] * 17
+        domain, tail = [""], ""
+    else:
+        parts = _ALNUM_PART.findall(s)
+        digits = sum(c.isdigit() for c in s)
+        letters = sum(c.isalpha() for c in s)
+        format_ = [
+            digits, letters, len(parts), len(parts[0]) if parts else 0, len(parts[-1]) if parts else 0, max(map(len, parts), default=0),
+            s.startswith(("+", "tel:+")), s.startswith("00"), "(" in s, s.count("."), s.count("-"), s.count(" "), bool(_EXT.search(s)), s[:1].isalpha(), s[-1:].isalpha()]
+        own = [0.0] * 17
+        domain = _AT.split(s)
+        tail = _DOT.split(domain[-1].strip())[-1] if len(domain) > 1 else ""
     return [
-        digits, letters, len(parts), len(parts[0]) if parts else 0, len(parts[-1]) if parts else 0, max(map(len, parts), default=0),
-        s.startswith(("+", "tel:+")), s.startswith("00"), "(" in s, s.count("."), s.count("-"), s.count(" "), bool(re.search(r"ext|poste|x ?\d", s)), s[:1].isalpha(), s[-1:].isalpha(),
-        *[float(bool(c.search(near))) + float(bool(c.search(ahead))) if k in _CUES_OF[kind] else 0.0 for k, c in _CUE.items()],
-        any(w in GIVEN for w in words), bool(re.match(rf"(?:{'|'.join(TITLES)})\b", s)), capital, bool(re.search(r"\b[Tt]he $", ahead)), next_word in NAMED_THINGS,
-        next_word.split("-")[0] in NAMED_THINGS or next_word in ("changes", "level"), behind.startswith("-"), len(domain) > 1 and tail.isalpha() and len(tail) >= 2 and len(domain[0].strip()) > 0,
-        bool(re.search(r"as checksum|tokens|units|per |edition", behind)), float(bool(re.search(r"[=:(\"]\s*$", ahead))),
-        *(_name_features(s, words, ahead, behind) if kind == "name" and words else [0.0] * 9),
+        *format_, *cues,
+        any(w in GIVEN for w in words), bool(_IS_TITLE.match(s)), sum(w[:1].isupper() for w in words), bool(_THE.search(ahead)), next_word in NAMED_THINGS,
+        next_word.split("-")[0] in NAMED_THINGS or next_word in ("changes", "closures", "level"), behind.startswith("-"), len(domain) > 1 and tail.isalpha() and len(tail) >= 2 and len(domain[0].strip()) > 0,
+        bool(_UNITS.search(behind)), float(bool(_MARK.search(ahead))),
+        *own,
     ]
 
 
@@ -221,13 +251,13 @@ def fitted(lessons: int = LESSONS) -> dict:
     for _ in range(lessons):
         text, gold = lesson(rng)
         for kind, a, z in candidates(text):
-            hit = any(k == kind and min(z, y) - max(a, x) > 0.6 * max(y - x, z - a) for k, x, y in gold)
+            hit = any(k == kind and min(z, y) - max(a, x) > (0.9 if kind == "name" else 0.6) * max(y - x, z - a) for k, x, y in gold)
             xs[kind].append(features(text, kind, a, z))
             ys[kind].append(float(hit))
     out = {}
     for k in KINDS:
         x, y = np.array(xs[k], float), np.array(ys[k])
-        out[k] = Calibrated().fit(x, y, np.arange(len(y)) % 4 == 0)
+        out[k] = Calibrated().fit(x, y, np.arange(len(y)) % 4 == 0, BETA)
     return out
 
 

@@ -15,12 +15,28 @@ from .pii import GIVEN, TITLES
 _GIVEN = sorted(GIVEN)
 # Syllables of invented family and place names.
 _SYLLABLES = "ba bel cor da del fen gar ha hol in jo ka kel la lun ma mer mo na nor ol pe pol qua ra rin sa ser sol ta tor ul va ver wen yar zel zim".split()
-_THINGS = "glaciers finches manuscripts corpora synapses harbours lattices grasses archives kernels".split()
+_THINGS = "rivers engines beetles novels proteins castles numbers meadows sensors markets violins orchards".split()
 # Given names beside the list of the generator, with accents, in other scripts, and families that go with them.
 _OTHER = "Jonathan Siobhán José Zoë Łukasz Øyvind Bjørn Renée Sören Thandiwe Nguyễn Çağla Rhiannon Gunther Percival Dorothea Anneliese Bartholomew Xochitl Wanjiru".split()
 _SCRIPTS = [("Анна", "Петрова"), ("Сергей", "Волков"), ("Νίκος", "Παππάς"), ("Ελένη", "Δήμου"), ("Ольга", "Миронова"), ("Արամ", "Սարոյան")]
 _UNCASED = ["田中太郎", "王小明", "محمد علي", "דוד כהן", "김민수", "राम शर्मा"]
-_LEADS = "Judging by growth, old|In 1485, every class of|A count of 311|This entry collects|Critics doubt that|Under stable notation,|According to the survey,|We study rare|Sin embargo, los|Die Dichte der|On a comparé 41".split("|")
+# Frames for each kind, {} being the personal thing, and for texts without any; {f} and {g} are invented words, {t} a plural.
+_NAME_FRAMES = """Kind regards,\\n{} ~ Best wishes, {} ~ Sincerely,\\n{} ~ Love, {} ~ Signed: {} ~ signed, {} ~ Yours truly\\n{} ~ -- {} ~ My neighbour {} was ill. ~ We met {} in Paris last week. ~ Yesterday {} told us the news. ~ {} said so twice.
+{} wrote back at once. ~ {} thinks we should wait. ~ {}, aged 41, works at the mill. ~ {} was born in 1962. ~ Please ask {} about the keys. ~ I asked {} for help. ~ Talk to {} before Friday. ~ The interview with {} took an hour. ~ Interview with {} on farming ~ The band was founded by {} in spring. ~ a map drawn by {} ~ The prize was given by {}. ~ Give this to {}, please. ~ Mail the form to {} first. ~ A chat with {} about bread. ~ The baker, {}, said no. ~ Our teacher, {}, has left. ~ The letter to {} came back. ~ Parcels addressed to {} are kept here. ~ Many thanks to {} for reading a draft.
+We are grateful to {} for comments. ~ Photo: {} ~ Photograph by {} ~ Text by {}. ~ Reviewed by {} ~ Edited by {}, second printing. ~ by {} ~ By {}\\n ~ Author: {} ~ author = {} ~ author={}; ~ "author": "{}", ~ "name": "{}" ~ name: {} ~ Name: {} ~ Full name: {} ~ user={}; ~ Patient: {} ~ Customer: {}
+From: {} ~ To: {} ~ Cc: {} ~ cc {} ~ Attn: {} ~ Dear {}, ~ Hello {}, ~ Hi {}! ~ {}'s phone was off. ~ The house of {} was sold. ~ a letter from {} to her aunt ~ According to {}, rain is due. ~ as {} noted in an earlier message ~ ({}, personal communication) ~ ({}, in conversation)
+The jury heard {} on Tuesday. ~ {} replied that nothing was missing. ~ {} disagrees with the plan. ~ {} and the others left early. ~ nobody but {} has the code ~ Meeting notes: {} will call the bank. ~ Spoke to {} today ~ Danke an {} für die Hilfe. ~ Merci à {} pour son aide. ~ Gracias a {} por la ayuda. ~ Laut {} ist alles fertig. ~ Ein Brief von {} kam an. ~ Nachricht von {} erhalten. ~ Auskunft von {}: keine. ~ Carta de {} recibida. ~ Selon {}, rien ne manque. ~ Según {}, no falta nada.
+Verfasst von {} ~ Autor: {} ~ Auteur : {} ~ Contact {} with questions. ~ Contact: {} ~ Speaker: {} ~ the notes that {} kept ~ what {} asked us to do ~ the box {} had left in the hall ~ {} (retired) ~ {} (born 1970) ~ {}""".replace("\n", " ~ ").replace("\\n", "\n").split(" ~ ")
+_SINGLE_FRAMES = "Signed, {} ~ signed: {} ~ Love, {} ~ author={}; ~ \"author\": \"{}\", ~ cc {} ~ Written by {}. ~ Edited by {} ~ Dear {}, ~ Hello {}, ~ Name: {} ~ name: {} ~ Kind regards,\n{}".split(" ~ ")
+_EMAIL_FRAMES = "Write to {} today. ~ mail {} ~ E-mail: {} ~ ({}) ~ mailto:{} ~ email={}; ~ {} ~ Send the form to {}, please. ~ Escriba a {}. ~ <{}> ~ Bcc: {}".split(" ~ ")
+_PHONE_FRAMES = "Call {} after six. ~ Phone: {} ~ Mobile {} ~ Tel. {} ~ {} ~ Our number is {}. ~ Téléphone : {} ~ please ring {} if late ~ Fax {} ~ text me on {} ~ Telefon {} ~ The shop ({}) is closed on Sundays. ~ The waiting room ({}) is upstairs. ~ The front office ({}) takes bookings. ~ WhatsApp: {}".split(" ~ ")
+_ID_FRAMES = "Her card shows {}. ~ ({}) ~ Remove {} from that record. ~ On the form: {} ~ x=1;{};y=2 ~ My {} has changed. ~ {} ~ Applicant, {}, resident since 1999.".split(" ~ ")
+_ADDRESS_FRAMES = "Address: {}, {} ~ Post it to {}, {}. ~ She moved from {}, {} to a farm. ~ {}, {} ~ He lives at {}, {}. ~ Anschrift: {}, {} ~ Return to {}, {}. ~ Dirección: {}, {}".split(" ~ ")
+_PLAIN = """Near {f}, {t} are common. ~ Outside {f} {g} the road ends. ~ In {f}, {t} and {t} are sold. ~ Die {T} von {f} sind alt. ~ En {f} hay {t}. ~ À {f}, on trouve des {t}. ~ between {t} and {f} {g} {t} of the north ~ {t} fill {f} around {T} {g}. ~ ### {T_} ### ~ {F_} {G_} {T_} ~ ALL {T_} OF {F_} ARE FINITE ~ {T_} CURRENTS, WAVES AND {F_} {T_} ~ IN {F_} {G_} {T_} {T_} WERE COUNTED ~ SEE {T_} {T_} BELOW ~ don't they'll IT'S I'd ~ Notes Phone ~ shaped by {f} {t} and wind
+{t} bounded by {f} and {g}. ~ {T} {g}\\n\\n{f} {t} ~ Main {T}: {f} {T} ~ # {f} {g}\\n{t} in {f} ~ # {T} in {f} ~ Since 1{d}, {f} has had {t}. ~ The city of {f} {g} lies inland. ~ University of {f} {g} ~ {f} University press ~ Ministry of {T}, {f} ~ on the {f} {g} coast ~ north of {f} {g} ~ from {f} {g} to {g} ~ set apart from {f}\\n> {t} ~ it follows from {f} {T} ~ THIS FOLLOWS FROM {F_} {T_}, AT LEAST FOR {T_} ~ ACCORDING TO THE {F_} STUDY ~ tell {t} from {f} ~ von {f} nach {g} ~ Berichte von {T} und {f} ~ Every {f} {T} is compact.
+Table {n}: {T} in {f} ~ Figure {n} {f} {T} ~ Chapter {n}. {f} {T} ~ According to the {f} {T}, yields fall. ~ {T} According to Size ~ Mount {f} is snowy. ~ Saint {f} Church stands there. ~ the {n}th {f} {T} Congress ~ New {f} is larger than Old {g}. ~ The {f} of {g} by night ~ Under {f} {g}, {t} grow faster. ~ After {f} came {g}. ~ {f} -> {g} {T} -> {T} of {f} ~ {f} {T} -> {g} {T}
+{f} {T}, {g} {T}, {f} {g} ~ {f} is a genus of {t}. ~ {f} {g} is a species of {t}. ~ Most {t} in Upper {f} are wild. ~ By {f} standards this is low. ~ By {t}, by {f} or by {g} ~ This holds by {f} {g} duality. ~ sold by {f} {T} Ltd ~ translated from {f} by machine ~ These {t} came from {f} {g}. ~ Visit {f} {g} in spring. ~ We travelled to {f} {g}. ~ Dear Reader, ~ Dear all, ~ signed a treaty with {f} ~ {t}, contact and trade in {f}
+With {f} {t}, costs rise. ~ Lower {f} and Upper {f} were joined. ~ Some {f} {T} and Other {T} ~ In {f} and {g}, Monday is free. ~ {f} Street Market opens early. ~ The name {f} means hill. ~ named after {f} the hill ~ name of the {f} {t} ~ author of {f} guides ~ Photo of {f} {g} bridge ~ editor: none ~ Thanks to {f} {t}, prices fell. ~ Thanks to {t} from {f}. ~ The {f} effect and {f} {g} model""".replace("\n", " ~ ").replace("\\n", "\n").split(" ~ ")
 
 
 class _Maker:
@@ -69,7 +85,7 @@ class _Maker:
         d = self.digits
         return self.pick([
             f"+1 {d(3)} 555 {d(4)}", f"({d(3)}) 555-{d(4)}", f"({d(3)}) 555 {d(4)}", f"{d(3)}-555-{d(4)}", f"+1.{d(3)}.555.{d(4)}", f"+49 {d(2)} {d(5)} {d(3)}", f"0049-{d(2)}-{d(8)}", f"020 {d(4)} {d(4)}", f"0{d(3)} {d(6)}", f"+44 20 {d(4)} {d(4)}",
-            f"+33 1 {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+34 900 {d(3)} {d(3)}", f"tel:+1{d(10)}", f"{d(3)} 555 {d(4)} ext. {d(3)}", f"+1 ({d(3)}) 555-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(3)}", f"+86 1{d(10)}"])
+            f"+33 1 {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+34 900 {d(3)} {d(3)}", f"tel:+1{d(10)}", f"{d(3)} 555 {d(4)} ext. {d(3)}", f"+1 ({d(3)}) 555-{d(4)}", f"(0{d(2)}) {d(4)} {d(4)}", f"(0{d(3)}) {d(6)}", f"0{d(2)} {d(6)}", f"0{d(2)} {d(8)}", f"0{d(4)} {d(6)}", f"{d(3)} {d(3)} {d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(3)}", f"+86 1{d(10)}"])
 
     def id_number(self) -> tuple[str, str]:
         d, c = self.digits, self.capitals
@@ -85,55 +101,54 @@ class _Maker:
             f"{self.n(1, 90)} rue {f}", f"Calle {f}, {self.n(1, 90)}", f"Avenida de {f} {self.n(1, 90)}", f"{f}straße {self.n(1, 90)}", f"{f}weg {self.n(1, 90)}", f"Via {f} {self.n(1, 90)}",
             f"{self.n(1, 300)} {f.upper()} {self.pick(['ROAD', 'STREET', 'AVE', 'BLVD', 'LANE'])}, APT {self.n(1, 40)}{self.pick('ABC')}", f"{self.n(1, 300)} {f} {self.pick(['Road', 'St', 'Ave'])}, Apt {self.n(1, 40)}"])
 
+    def plain(self) -> str:
+        """A sentence with places, headings and the like, and nothing personal."""
+        t, f, g = self.pick(_THINGS), self.family(), self.family()
+        if self.chance(0.2):
+            f = self.pick(_GIVEN)
+            return self.pick(["The {f} {x} is steep.", "near the {f} {x}", "by the {f} {x}, we are done", "the {f} {x} and its {t}", "Saint {f} {x}", "Proof of the {f} {x}"]).format(f=f, x=self.pick(["Basin", "River", "Valley", "Bay", "Bridge", "theorem", "lemma", "conjecture", "Lake", "equation", "Museum", "Island"]), t=t)
+        return self.pick(_PLAIN).format(f=f, g=g, t=t, T=t.capitalize(), F_=f.upper(), G_=g.upper(), T_=t.upper(), n=self.n(1, 40), d=self.digits(3))
+
+    def numbers(self) -> str:
+        """A sentence with numbers, codes or signs that name nobody."""
+        d, c, f, t = self.digits, self.capitals, self.family(), self.pick(_THINGS)
+        return self.pick([
+            f"ISBN 978-3-{d(2)}-{d(6)}-{d(1)}", f"ISBN 978-0-{d(2)}-{d(6)}-{d(1)} (cloth)", f"ISSN {d(4)}-{d(4)}", f"accession number {c(3)}-{d(6)}, 20{d(2)}-0{self.n(1, 9)}-{self.n(10, 28)}", f"funded by grant {c(2)}-{d(4)}-{d(2)}", f"{d(2)}.{d(4)} N, {d(2)}.{d(4)} E", f"at {d(2)}.{d(5)}, -{d(2)}.{d(5)}",
+            f"release {self.n(1, 20)}.{self.n(0, 9)}.{self.n(0, 9)}, checksum {d(3)}-{d(4)}", f"{self.n(1, 9)} {d(3)} {d(3)} units @ 3 per box", f'{{"key": {d(5)}, "value": {d(2)}.{d(4)}}}', f"arXiv:{d(4)}.{d(5)}v{self.n(1, 9)}, doi:10.{d(4)}/{f.lower()}.{d(3)}", f"doi:10.{d(4)}/{d(3)}", f"https://doi.org/10.{d(4)}/{d(6)}", f"order {c(2)}{d(7)} has arrived", f"invoice no. {d(4)}-{d(4)}-{d(2)}",
+            f"between {d(4)} and {d(4)}, {d(5)} {t}", f"{self.n(1, 9)} {d(3)} {d(3)} {t} a year", f"Table {d(1)} gives {d(3)} {d(3)} {d(4)}", f"{t} {d(4)} {d(4)}, {t}", f"in 1{d(3)} {d(4)} {d(5)} {t}", f"{f} {d(4)} {d(4)} {t}", f"{self.n(1, 9)} {self.pick(['Lane', 'Street', 'Road'])} closures per month", f"Table {self.n(1, 9)} {self.pick(['Street', 'Road'])}-level data",
+            f"{self.n(1, 90)} HIGH {self.pick(['ROAD', 'LANE'])} CLOSURES PER MONTH", f"hey @{f.lower()} see above", f"thanks @{f.lower()}!", f"1{d(3)}-1{d(3)}: {t}", f"pp. {d(3)}-{d(3)}", f"commit {d(7)}", f"room {d(3)}, shelf {c(1)} {d(4)} {d(3)}", f"20{d(2)}-0{self.n(1, 9)}-{self.n(10, 28)} {self.n(10, 23)}:{self.n(10, 59)}:{self.n(10, 59)}"])
+
     def piece(self) -> tuple[str, list[tuple[str, str]]]:
         """A sentence, and the kinds and strings in it that are personal."""
-        k = self.n(0, 16)
-        if k == 14:
-            x = self.other_name()
-            return self.pick(["Thanks to {}.", "Signed, {}", "I spoke with {} on Monday.", "{} asked twice for the raw files.", "According to {}, the title is wrong.", "cc {}", "Name: {}", "({}, personal communication)", "Written by {} in spring.", "author={};", '"author": "{}",', "Merci à {} pour les photos.", "Reviewed by {} and kept.", "Nach Auskunft von {} fehlt eine Seite.", "{} disagreed with this.", "more on the scans {} asked for", "the files {} left behind"]).format(x), [("name", x)]
-        if k == 15:
-            x = self.pick(_UNCASED) if self.chance(0.2) else self.family()
-            return self.pick(["Signed, {}", "signed: {}", "author={};", '"author": "{}",', "cc {}", "Written by {}.", "Reviewed by {} and kept.", "Dear {},", "Name: {}"]).format(x), [("name", x)]
-        if k == 16:
-            f, g, t = self.family(), self.family(), self.pick(_THINGS)
-            lead = self.pick("Near Following Outside Old In At Under Since After The Every".split())
-            return self.pick([
-                f"{lead} {f}, {t} meet.", f"{lead} {f} {t} and {f}", f"Die {t.capitalize()} von {f} wurden beschrieben.", f"Die Lage der {t.capitalize()} von {f} hängt ab.", f"En {f} se hallan {t}.", f"split between {t} and {f} {g} {t} of", f"{t} await {f} around {t.capitalize()} {g}.",
-                f"### END {t.upper()} ###", f"{lead} {f} {g} {t}".upper(), f"EVERY CLASS OF {t.upper()} ADMITS {f.upper()} {t.upper()}", f"shaped by {f} {t} and {g}", f"{t} bounded by {f} and {g}.", f"{t.capitalize()} {g.capitalize()}\n\n{f} {t}", f"According to {f} {t}, all is well.", f"Main {t.capitalize()}: {f} {t.capitalize()}", f"# {f} {g}\n{t} of {f}"]), []
-        if k <= 1:
-            x = self.name()
-            return self.pick(["Thanks to {}.", "Signed, {}", "I spoke with {} on Monday.", "{} asked twice for the raw files.", "According to {}, the title is wrong.", "cc {}", "Name: {}", "({}, personal communication)", "Written by {} in spring.", "{}", "author={};", '"author": "{}",', "Merci à {} pour les photos.", "Reviewed by {} and kept.", "Nach Auskunft von {} fehlt eine Seite.", "{} disagreed with this.", "more on the scans {} asked for", "the files {} left behind"]).format(x), [("name", x)]
-        if k <= 2:
-            x = self.email()
-            return self.pick(["Write to {}.", "mail: {}", "Contact: {}", "({})", "mailto:{}?subject=page", "email={};", "{}", "Escribir a {}."]).format(x), [("email", x)]
+        k = self.n(0, 19)
+        if k <= 4 and self.chance(0.12):  # signatures
+            x, mail, tel = self.name() if self.chance(0.5) else self.other_name(), self.email(), self.phone()
+            frame = self.pick(["--\n{x}\n{p}", "--\n{x}\n{p}\n{m}", "--\n{x}\n{m}", "{x} <{m}>", "{x} ({m})", "-- {x} ({m})", "* {x} ({m})", "{x}, {m}", "{x}, {p}", "Regards\n{x}\n{m}"])
+            return frame.format(x=x, m=mail, p=tel), [("name", x), *([("phone", tel)] if "{p}" in frame else []), *([("email", mail)] if "{m}" in frame else [])]
         if k <= 4:
+            x = self.name() if k <= 1 else self.other_name() if k <= 3 or self.chance(0.5) else self.pick(_UNCASED)
+            if x in _UNCASED:
+                return self.pick(_SINGLE_FRAMES).format(x), [("name", x)]
+            return self.pick(_NAME_FRAMES).format(x), [("name", x)]
+        if k == 5:
+            x = self.family() if self.chance(0.7) else self.pick(_GIVEN)
+            return self.pick(_SINGLE_FRAMES).format(x), [("name", x)]
+        if k == 6:
+            x = self.email()
+            return self.pick(_EMAIL_FRAMES).format(x), [("email", x)]
+        if k <= 8:
             x = self.phone()
-            return self.pick(["Call {} during office hours.", "Phone: {}", "Mobile {}, evenings only.", "Tel. {}", "{}", "The desk ({}) opens at nine.", "Téléphone : {}", "please ring {} about it", "Fax {}."]).format(x), [("phone", x)]
-        if k <= 6:
+            return self.pick(_PHONE_FRAMES).format(x), [("phone", x)]
+        if k <= 10:
             cue, x = self.id_number()
-            gap = "" if cue.endswith("=") else " "
-            return self.pick(["The form lists {}.", "A scan shows {} in the margin.", "({})", "Please delete {} from the page.", "Registered reader, {}, since 1980.", "name=x;{};visits=4" if not gap else "My {} is on file."]).format(cue + gap + x), [("id_number", x)]
-        if k <= 7:
+            return self.pick(_ID_FRAMES).format(cue + ("" if cue.endswith("=") else " ") + x), [("id_number", x)]
+        if k == 11:
             x, y = self.address(), self.family()
             if self.chance(0.3):
-                who = self.name()
-                return f"Deliver to {who}, {x}, {y}.", [("name", who), ("address", x)]
-            return self.pick(["Address: {}, {}", "Letters go to {}, {}.", "Moved from {}, {} last year.", "{}, {}", "He lives at {}, {}."]).format(x, y), [("address", x)]
-        d, c, f, g = self.digits, self.capitals, self.family(), self.pick(_GIVEN)
-        if k <= 9:
-            return self.pick([
-                f"ISBN 978-0-{d(2)}-{d(6)}-{d(1)} was reprinted.", f"Listed as ISSN {d(4)}-{d(4)} in the catalogue.", f"Accession {c(3)}-{d(6)} was withdrawn on 20{d(2)}-0{self.n(1, 9)}-{self.n(10, 28)}.", f"Grant {c(2)}-{d(4)}-{d(2)} covered the work.",
-                f"Coordinates {d(2)}.{d(4)} N, {d(2)}.{d(4)} E.", f"Version {self.n(1, 20)}.{self.n(0, 9)}.{self.n(0, 9)} of the dump has {d(3)}-{d(4)} as checksum.", f"Sampled {self.n(1, 9)} {d(3)} {d(3)} tokens @ 7 per page.", f'{{"id": {d(5)}, "weight": {d(2)}.{d(4)}}}',
-                f"See {d(4)}.{d(5)}v{self.n(1, 9)} and doi:10.{d(4)}/{f.lower()}.{d(3)}.", f"Order {c(2)}{d(7)} was shipped.", f"Invoice {d(4)}-{d(4)}-{d(2)} is paid.", f"from {d(4)} to {d(4)}, {d(5)} {self.pick(_THINGS)}", f"by a factor of {d(5)}.", f"{self.n(1, 9)} {d(3)} {d(3)} {self.pick(_THINGS)} were counted", f"Table {d(1)} lists {d(3)} {d(3)} {d(4)} pages.",
-                f"{self.pick(_THINGS)} {d(4)} {d(4)}, {self.pick(_THINGS)}", f"in 1{d(3)} and {d(4)} {d(5)} {self.pick(_THINGS)}", f"{f} {d(4)} {d(4)} {self.pick(_THINGS)} of"])\
-                , []
-        if k <= 11:
-            thing = self.pick(["Basin", "River", "Valley", "Bay", "Mountains", "theorem", "lemma", "conjecture", "Street", "Bridge", "equation", "Lake"])
-            return self.pick([
-                f"The {g} {thing} lies south of {f}.", f"By the {g} {thing}, this holds.", f"the {f} {thing} and the {f} {self.pick(['number', 'law'])}", f"{self.n(1, 9)} {self.pick(['Lane', 'Street', 'Road'])} changes per year were counted.", f"Table {self.n(1, 9)} {self.pick(['Street', 'Road'])}-level counts, by year.",
-                f"Ping @{f.lower()} about this edit.", f"at {f} the {thing} dries up", f"Near {f}, the Saint {g} {self.pick(['Church', 'Bridge'])} stands.", f"Prof or Dr in the title of {self.pick(_THINGS)}",
-                f"{self.n(1, 90)} MAIN {self.pick(['ROAD', 'LANE'])} CHANGES PER YEAR"]), []
-        return f"{self.pick(_LEADS)} {f} {self.pick(_THINGS)}, {self.pick(_THINGS)} and {self.pick(_THINGS)} of {self.family()} since {d(4)}.", []
+                who = self.name() if self.chance(0.5) else self.other_name()
+                return self.pick(["Send it to {w}, {x}, {y}.", "Bring this to {w}, {x}, {y}", "{w}, {x}, {y}", "For {w}, {x}"]).format(w=who, x=x, y=y), [("name", who), ("address", x)]
+            return self.pick(_ADDRESS_FRAMES).format(x, y), [("address", x)]
+        return (self.numbers() if k <= 14 else self.plain()), []
 
 
 def lesson(rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
@@ -145,5 +160,5 @@ def lesson(rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
         for kind, x in xs:
             at = s.index(x)
             gold.append((kind, len(text) + at, len(text) + at + len(x)))
-        text += s + m.pick([" ", "\n", " ", "\n\n"])
+        text += s + m.pick([" ", "\n", " ", "\n\n", ". "])
     return text, gold

@@ -148,4 +148,4 @@ def test_trees_learn_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     assert (((BoostedTrees().fit(x[:1000], y[:1000]).score(x[1000:]) > 0) == (y[1000:] > 0)).mean()) > 0.95
     c = Calibrated().fit(x, y, np.arange(1500) % 3 == 0)
-    assert c.f1 > 0.95 and 0 <= c.probability(x).min() <= c.probability(x).max() <= 1
+    assert c.best > 0.95 and 0 <= c.probability(x).min() <= c.probability(x).max() <= 1
