@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
@@ -56,8 +57,13 @@ _COMMA_NAME = regex.compile(rf"(?<![\p{{L}}\p{{N}}@.])(?:{_PARTICLE}[ ])?{_UPPER
 _UPPER_START = regex.compile(r"(?<=[ ])\p{Lu}")
 _SPACED = re.compile(r"[ .]\S")
 # Words before and behind persons' names, in several languages.
-_STRONG = r"signed|thanks to|thank you|thanks|(?:written|reviewed|edited|posted|checked|noted|translated|compiled|text|photo|photograph|left) by|spoke (?:with|to)|talk to|according to|cc|bcc|attn|author|name|user|reader|patient|customer|speaker|contact|photo|dear|hello|hi|love|sincerely|regards|wishes|truly|merci à|danke an|gracias a|laut|selon|según|auskunft von|auteur|autor|verfasst von|firmado(?: por)?|signé|подпись|автор|署名|作者"
-_CUED = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?i:{_STRONG}|by)\"?[ ]*[:：=,(\"]*[ ]*(?P<n>(?:\p{{Lu}}\.[ ]?){{0,2}}{_UPPER}(?:[ ](?:{_PARTICLE}[ ])?{_UPPER}){{0,3}}|\p{{Lo}}[\p{{Lo}}\p{{M}}]+(?:[ ·]\p{{Lo}}[\p{{Lo}}\p{{M}}]+){{0,3}})(?![\p{{L}}\p{{N}}@])")
+_CUE_WORDS = (
+    *"signed|thanks to|thank you|thanks|spoke with|spoke to|talk to|according to|cc|bcc|attn|author|name|user|reader|patient|customer|speaker|contact|photo|dear|hello|hi|love|sincerely|regards|wishes|truly".split("|"),
+    *(f"{x} by" for x in "written reviewed edited posted checked noted translated compiled text photo photograph left".split()),
+    *"merci à|danke an|gracias a|laut|selon|según|auskunft von|auteur|autor|verfasst von|firmado|firmado por|signé|подпись|автор|署名|作者".split("|"),
+)
+_STRONG = "|".join(sorted(_CUE_WORDS, key=lambda x: (-len(x), x)))
+_CUED = regex.compile(rf"\"?[ ]*[:：=,(\"]*[ ]*(?P<n>(?:\p{{Lu}}\.[ ]?){{0,2}}{_UPPER}(?:[ ](?:{_PARTICLE}[ ])?{_UPPER}){{0,3}}|\p{{Lo}}[\p{{Lo}}\p{{M}}]+(?:[ ·]\p{{Lo}}[\p{{Lo}}\p{{M}}]+){{0,3}})(?![\p{{L}}\p{{N}}@])")
 _STRONG_AHEAD = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?i:{_STRONG})\"?[ ]*[:：=,(\"]*[ ]*$")
 _MARK_AHEAD = re.compile(r"(?:[\w\"][ ]?[:：=]\s*\"?|^-- ?)$")
 _PERSON_VERB = r"asked|told|met|meet|thank|thanked|called|heard|knows?|knew|saw|invited|interview(?:ed)? with|helped|emailed|letter from|house of|addressed to|letters? (?:to|for)|parcels? (?:to|for)|interview with|talk with|chat with|conversation with|neighbou?r|friend|colleague|grateful to|indebted to|but|that|what"
@@ -79,6 +85,27 @@ _EMAIL_SIGNS = ("@", "＠", "&#64;", "%40", "(at)", "[at]", "{at}", "<at>", " do
 _ADDRESS_SIGNS = ("Street", "Road", "Lane", "Avenue", "Drive", " Close", "Court", " Way", "Boulevard", "Square", "Place", "Terrace", "Crescent", "Gardens", " St,", " St.", " St ", " St\n", " Rd", " Ave", " Blvd", " Ln", " rue ", " avenue ", " boulevard ", " place ", " chemin ", " impasse ", " allée ", " quai ", "Calle ", "Avenida ", "Avda", "Plaza ", "Paseo ", "Camino ", "Via ", "Viale ", "Piazza ", "Corso ", "Rua ", "Travessa ", "straße ", "strasse ", "weg ", "platz ", "gasse ", "allee ", "ufer ", "damm ", "str. ", "ул", "просп", "пер.")
 _ADDRESS_SIGNS += tuple(x.upper() for x in _ADDRESS_SIGNS if x.isascii())
 _TITLE_SIGNS = tuple(f"{t}{e}" for t in TITLES for e in (" ", "."))
+
+
+def _automaton(words: dict[str, object]) -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for w, v in words.items():
+        a.add_word(w, v)
+    a.make_automaton()
+    return a
+
+
+#: All signs are looked for in one pass over a text, all cues in one over its small letters.
+_SIGNS = _automaton({**dict.fromkeys(_ADDRESS_SIGNS, "address"), **dict.fromkeys(_TITLE_SIGNS, "title"), **dict.fromkeys(_EMAIL_SIGNS, "email")})
+_CUE_FINDER = _automaton({w: len(w) for w in (*_CUE_WORDS, "by")})
+
+
+def _small(text: str) -> str:
+    """Small letters, each in the place of its own."""
+    t = text.lower()
+    return t if len(t) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 _DIGITS = re.compile(r"\d[\dA-Z ().\-/]{3,}[\dA-Z]")
 _NUMBER = re.compile(
     r"(?<![\w.,/\-])(?:tel:)?(?:\+\d{1,3}[ .\-]?(?:\d[ .\-])?|00\d{2}[ .\-]?(?:\d[ .\-])?|0?\d[ .](?=\d\d[ .]))?(?:\(0?\d{1,4}\)[ .\-/]?)?\d{2,12}(?:[ .\-/]\d{2,11}){0,6}(?:,?[ ](?:ext|extension|poste|Durchwahl|x)\.?[ ]?\d{1,5})?(?![\w])"
@@ -125,7 +152,8 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` of every span that might be personal data; spans may overlap, within a kind too."""
     out: list[tuple[str, int, int]] = []
     mails: list[tuple[int, int]] = []
-    if any(x in text for x in _EMAIL_SIGNS):
+    signs = {kind for _, kind in _SIGNS.iter(text)}
+    if "email" in signs:
         for m in _EMAIL.finditer(text):
             mails.append(m.span())
             out.append(("email", *m.span()))
@@ -138,11 +166,11 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             if len(s) >= 6 and sum(map(str.isdigit, s)) >= 5:
                 lead = len(s) - len(s.lstrip(" -"))
                 out.append(("id_number", m.start() + lead, m.end()))
-    if any(x in text for x in _ADDRESS_SIGNS):
+    if "address" in signs:
         out += [("address", *m.span()) for m in _ADDRESS.finditer(text)]
     inside = lambda a: any(x <= a < y for x, y in mails)
     seen = set()
-    for m in _TITLE.finditer(text) if any(x in text for x in _TITLE_SIGNS) else ():
+    for m in _TITLE.finditer(text) if "title" in signs else ():
         if not inside(m.start()) and m.span() not in seen:
             seen.add(m.span())
             out.append(("name", *m.span()))
@@ -159,8 +187,12 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         if m.span() not in seen and not inside(m.start()):
             seen.add(m.span())
             out.append(("name", *m.span()))
-    for m in _CUED.finditer(text):
-        if m.span("n") not in seen and not inside(m.start("n")):
+    for last, size in _CUE_FINDER.iter(_small(text)):
+        before = last - size
+        if before >= 0 and text[before].isalnum() or last + 1 == len(text):
+            continue
+        m = _CUED.match(text, last + 1)
+        if m and m.span("n") not in seen and not inside(m.start("n")):
             seen.add(m.span("n"))
             out.append(("name", *m.span("n")))
     return out
