@@ -1,7 +1,8 @@
 """Parent-child links of unknown depth: cycles, heavy chains, full paths, depth, root and descendants (problem 3).
 
-Nodes on cycles are separated first.  What remains is acyclic; every node's smallest parent makes a spanning forest,
-and each further parent is a *graft*.  Pointer doubling (a number of rounds logarithmic in the depth) gives roots,
+Nodes on cycles are separated first: those that reach each other become one node, named by the smallest of them, so what
+lies ahead of a cycle leads through it to what lies behind.  What remains is acyclic; every node's smallest parent makes a
+spanning forest, and each further parent is a *graft*.  Pointer doubling (a number of rounds logarithmic in the depth) gives roots,
 depths and subtree sizes, the largest child continues its parent's chain, and a preorder that enters the heavy child
 first makes each chain, and each subtree, one interval.  Paths are chain segments strung together, so their rounds are
 bounded by the changes of chain on a path and not by its length.
@@ -209,25 +210,33 @@ def _label_here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": part} | cols)
 
 
+def _condensed(rows: DataFrame, column: str, cyclic: DataFrame) -> DataFrame:
+    """``rows`` with each node on a cycle named by its component."""
+    return rows.join(cyclic.select(F.col("node").alias(column), F.col("scc").alias("_scc")), column, "left").withColumn(column, F.coalesce("_scc", column)).select(*rows.columns)
+
+
+def each_member(rows: DataFrame, column: str, cyclic: DataFrame) -> DataFrame:
+    """``rows`` with one row for each node of the component that ``column`` names."""
+    return rows.join(cyclic.select(F.col("scc").alias(column), F.col("node").alias("_node")), column, "left").withColumn(column, F.coalesce("_node", column)).select(*rows.columns)
+
+
 def label(links: DataFrame, nodes: DataFrame | None = None, one_task_links: int = ONE_TASK_LINKS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(labels, grafts, cyclic)`` of distinct links.
 
-    labels: node, parent, root, depth (root 0), size (descendants and itself), head and pos (its chain, and place in it),
-    pre (its descendants are those of its root with pre in (pre, pre + size)).  grafts: (parent, node) links beside the
-    spanning forest.  cyclic: (node, scc); links between two nodes of one component belong to no hierarchy.  ``nodes``
-    adds nodes without links.  A forest of up to ``one_task_links`` nodes is labelled in one task, with the same result.
+    labels: node, parent, root, depth (root 0), size (itself and what is below it in the forest), head and pos (its chain, and
+    place in it), pre (the nodes below it in the forest are those of its root with pre in (pre, pre + size)).  grafts:
+    (parent, node) links beside the spanning forest.  cyclic: (node, scc) of all nodes on cycles; labels and grafts have the
+    sccs in their place (:func:`each_member` puts them back).  ``nodes`` adds nodes without links.  A forest of up to
+    ``one_task_links`` nodes is labelled in one task, with the same result.
     """
     links = materialise(links, "links")
     cyclic = materialise(cyclic_nodes(links, one_task_links), "cyclic")
-    acyclic = (
-        links.where("src <> dst").join(cyclic.select(F.col("node").alias("src"), F.col("scc").alias("s1")), "src", "left")
-        .join(cyclic.select(F.col("node").alias("dst"), F.col("scc").alias("s2")), "dst", "left").where("s1 is null or s2 is null or s1 <> s2").select("src", "dst")
-    )
-    first = acyclic.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
     every = links.select(F.col("src").alias("node")).union(links.select("dst"))
     if nodes is not None:
         every = every.union(nodes.select(F.col(nodes.columns[0]).cast("string")).where(F.col(nodes.columns[0]).isNotNull()))
-    forest = materialise(every.distinct().join(first, "node", "left").withColumn("weight", F.lit(1)), "forest")
+    acyclic = materialise(_condensed(_condensed(links, "src", cyclic), "dst", cyclic).where("src <> dst").distinct(), "acyclic")
+    first = acyclic.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+    forest = materialise(_condensed(every.distinct(), "node", cyclic).distinct().join(first, "node", "left").withColumn("weight", F.lit(1)), "forest")
     grafts = acyclic.select(F.col("src").alias("parent"), F.col("dst").alias("node")).join(forest.select("node", F.col("parent").alias("p")), "node").where("parent <> p").select("parent", "node")
     if forest.count() <= one_task_links:
         rows = forest.select("node", "parent", F.pmod(F.xxhash64("node"), F.lit(SIBLING_GROUPS)).cast("int").alias("g")).coalesce(1)
@@ -253,7 +262,7 @@ def full_paths(labels: DataFrame, grafts: DataFrame) -> DataFrame:
     """``(node, path)``: every path from a root to every node, one row each, through grafts too.
 
     An entry is a way into a chain: (chain, place, path above).  Entries of roots' chains come first; each round takes the
-    links that leave the chains entered last.  A node on a cycle is reached and left, but links inside the cycle are no steps.
+    links that leave the chains entered last.  A cycle is one entry of a path, named by its smallest node.
     """
     lab = materialise(labels, "labels")
     chains = materialise(lab.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("chain")), "chains")
@@ -278,8 +287,7 @@ def ancestry(labels: DataFrame, grafts: DataFrame) -> DataFrame:
     """``(ancestor, node)``: every node below every other one, whatever way leads there, grafts included; one row each.
 
     A node's ancestors on one chain are all up to the deepest at which some way down to the node leaves it.  Each round takes
-    the ways that enter the chains met last, so rounds are bounded by the changes of chain on a path.  As for paths, links
-    inside a cycle are no steps.
+    the ways that enter the chains met last, so rounds are bounded by the changes of chain on a path.  A cycle is one node.
     """
     lab = materialise(labels.select("node", "parent", "head", "pos"), "labels")
     light = lab.where("parent is not null and pos = 0").select("parent", "node")
@@ -295,17 +303,16 @@ def ancestry(labels: DataFrame, grafts: DataFrame) -> DataFrame:
     return best.join(above, "head").where("place <= pos and ancestor <> node").select("ancestor", "node")
 
 
-def with_descendants(labels: DataFrame, grafts: DataFrame) -> DataFrame:
-    """``labels`` with the number of nodes below each, ``descendants``, whatever way leads there."""
-    n = ancestry(labels, grafts).groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    return labels.join(n, "node", "left").withColumn("descendants", F.coalesce("n", F.lit(0).cast("long"))).drop("n")
+def with_descendants(labels: DataFrame, grafts: DataFrame, cyclic: DataFrame) -> DataFrame:
+    """``labels``, one row for each node, with the number of nodes below each by any way, ``descendants``; nodes on a cycle are below each other."""
+    weight = cyclic.groupBy(F.col("scc").alias("node")).agg(F.count(F.lit(1)).alias("w"))
+    n = ancestry(labels, grafts).join(weight, "node", "left").groupBy(F.col("ancestor").alias("node")).agg(F.sum(F.coalesce("w", F.lit(1))).alias("n"))
+    each = labels.join(n, "node", "left").join(weight, "node", "left").withColumn("descendants", F.coalesce("n", F.lit(0)) + F.coalesce("w", F.lit(1)) - 1).drop("n", "w")
+    return each_member(each, "node", cyclic)
 
 
-def descendants(labels: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """``(ancestor, node)`` below each of ``ancestors(node)`` within the spanning forest alone, from the intervals; one row each.
-
-    :func:`ancestry` has those that grafts lead to as well.
-    """
-    a = labels.join(ancestors.select("node"), "node", "left_semi").select(F.col("node").alias("ancestor"), "root", F.col("pre").alias("lo"), (F.col("pre") + F.col("size")).alias("hi"))
-    b = labels.select("node", "root", "pre")
-    return a.join(b, (a.root == b.root) & (b.pre > a.lo) & (b.pre < a.hi)).select("ancestor", "node")
+def descendants(labels: DataFrame, grafts: DataFrame, cyclic: DataFrame) -> DataFrame:
+    """``(ancestor, node)``: every node below every other one, by any way, nodes on a cycle below each other; one row each."""
+    inside = cyclic.select(F.col("scc").alias("ancestor"), F.col("scc").alias("node")).distinct()
+    pairs = ancestry(labels, grafts).unionByName(inside)
+    return each_member(each_member(pairs, "ancestor", cyclic), "node", cyclic).where("ancestor <> node")

@@ -47,13 +47,13 @@ def test_no_links(spark):
 @pytest.mark.parametrize("limit", [1000, 0])
 def test_paths_depths_and_intervals(spark, limit):
     rng = random.Random(7)
-    pairs = [(f"{rng.randrange(i):02d}", f"{i:02d}") for i in range(1, 40)] + [("05", "30"), ("07", "30"), ("98", "99"), ("99", "98"), ("99", "97")]
+    pairs = [(f"{rng.randrange(i):02d}", f"{i:02d}") for i in range(1, 40)] + [("05", "30"), ("07", "30"), ("09", "98"), ("98", "99"), ("99", "98"), ("99", "97"), ("96", "96")]
     links = links_of(spark, pairs)
     labels, grafts, cyclic = hierarchy.label(links, spark.createDataFrame([("zz",), (None,)], "id string"), limit)
     lab = {r.node: r for r in labels.collect()}
-    assert {r.node for r in cyclic.collect()} == {"98", "99"}
+    assert {(r.node, r.scc) for r in cyclic.collect()} == {("98", "98"), ("99", "98"), ("96", "96")}
     parent = {n: r.parent for n, r in lab.items()}
-    assert parent["zz"] is None and lab["zz"].size == 1
+    assert parent["zz"] is None and lab["zz"].size == 1 and "99" not in lab
 
     def up(n):
         return [] if n is None else [*up(parent[n]), n]
@@ -68,7 +68,8 @@ def test_paths_depths_and_intervals(spark, limit):
         assert up(n)[-1 - r.pos] == r.head
     kids = defaultdict(set)
     for a, b in pairs:
-        if not {a, b} <= {"98", "99"}:
+        a, b = ("98" if x == "99" else x for x in (a, b))
+        if a != b:
             kids[a].add(b)
     want = set()
 
@@ -82,8 +83,23 @@ def test_paths_depths_and_intervals(spark, limit):
             walk((n,))
     got = [tuple(r.path) for r in hierarchy.full_paths(labels, grafts).collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    some = hierarchy.descendants(labels, spark.createDataFrame([("00",), ("03",)], "node string")).collect()
-    assert {(r.ancestor, r.node) for r in some} == {(a, b) for a in ("00", "03") for b in below[a]}
+    assert up("97")[-2:] == ["98", "97"] and lab["97"].root == lab["09"].root
+
+
+def reachable(pairs):
+    out = defaultdict(set)
+    for a, b in pairs:
+        out[a].add(b)
+    seen = {}
+    for a in list(out):
+        todo, got = list(out[a]), set()
+        while todo:
+            x = todo.pop()
+            if x not in got:
+                got.add(x)
+                todo += out[x] if x in out else ()
+        seen[a] = got
+    return seen
 
 
 @pytest.mark.parametrize("limit", [1000, 0])
@@ -104,14 +120,18 @@ def test_both_ways_of_labelling_agree(spark):
 @pytest.mark.parametrize("limit", [1000, 0])
 def test_descendants_by_any_way(spark, limit):
     rng = random.Random(21)
-    pairs = [(f"{rng.randrange(max(0, i - 9), i):02d}", f"{i:02d}") for i in range(1, 40) for _ in range(2)]
-    labels, grafts, _ = hierarchy.label(links_of(spark, pairs), spark.createDataFrame([("zz",)], "id string"), limit)
-    want = defaultdict(set)
-    for a, b in sorted(pairs, key=lambda x: x[0], reverse=True):  # targets come after their sources in order
-        want[a] |= {b} | want[b]
-    got = [tuple(r) for r in hierarchy.ancestry(labels, grafts).collect()]
-    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in want for b in want[a]}
-    assert {r.node: r.descendants for r in hierarchy.with_descendants(labels, grafts).collect()} == {n: len(want[n]) for n in [*(f"{i:02d}" for i in range(40)), "zz"]}
+    pairs = [(f"{rng.randrange(max(0, i - 9), i):02d}", f"{i:02d}") for i in range(1, 40) for _ in range(2)] + [("30", "25"), ("12", "11"), ("12", "12")]
+    labels, grafts, cyclic = hierarchy.label(links_of(spark, pairs), spark.createDataFrame([("zz",)], "id string"), limit)
+    reach = reachable(pairs)
+    got = [tuple(r) for r in hierarchy.descendants(labels, grafts, cyclic).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in reach for b in reach[a] if a != b}
+    assert {r.node: r.descendants for r in hierarchy.with_descendants(labels, grafts, cyclic).collect()} == {n: len(reach.get(n, set()) - {n}) for n in [*(f"{i:02d}" for i in range(40)), "zz"]}
+
+
+def test_what_lies_behind_a_cycle(spark):
+    labels, grafts, cyclic = hierarchy.label(links_of(spark, [("r", "x"), ("x", "y"), ("y", "x"), ("y", "z")]))
+    assert {(r.node, r.root, r.depth) for r in hierarchy.each_member(labels, "node", cyclic).collect()} == {("r", "r", 0), ("x", "r", 1), ("y", "r", 1), ("z", "r", 2)}
+    assert {tuple(r.path) for r in hierarchy.full_paths(labels, grafts).collect()} == {("r",), ("r", "x"), ("r", "x", "z")}
 
 
 def test_shared_children_count_for_each_parent(spark, tmp_path):
