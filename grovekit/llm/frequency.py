@@ -42,7 +42,12 @@ def term_deltas_of_snapshots(old: DataFrame | None, new: DataFrame) -> DataFrame
 
 
 def open_store(spark, path: str, buckets: int = 16) -> CountStore:
-    return CountStore(spark, path, KEYS, MEASURES, buckets)
+    return CountStore(spark, path, KEYS, MEASURES, buckets, ("field", "id"))
+
+
+def deliver(store: CountStore, log: DataFrame, batch: str | None = None, gone: str | None = None) -> bool:
+    """Takes in versions ``(field, id, at, terms)`` of records; see :meth:`CountStore.deliver`."""
+    return store.deliver(log, "at", "terms", _deltas, batch, gone)
 
 
 def frequencies(store: CountStore) -> DataFrame:

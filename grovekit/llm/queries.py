@@ -12,7 +12,6 @@ from ..keys import table
 from ..session import fresh_path, materialise
 from . import encode, frequency, leakage, markup, overlap, pairs, pii, splits
 from .codes import with_codes
-from .deltas import standing_of_log
 
 
 def _batches(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,11 +29,9 @@ def _frequency_store(spark: SparkSession, d: str):
     papers = with_codes(table(spark, d, "papers_with_citations").select("id", "categories", "ingested_at"), table(spark, d, "category_aliases"), "categories", "terms")
     papers = papers.select(F.lit("categories").alias("field"), "id", F.col("ingested_at").alias("at"), "terms")
     store = frequency.open_store(spark, fresh_path(spark, "frequency"))
-    for log in (paths, papers):
-        early, late = _batches(log)
-        known = materialise(standing_of_log(early.where("id is not null"), ["field", "id"], "at", "terms"), "known")
-        store.merge(frequency.term_deltas_of_snapshots(None, known))
-        store.merge(frequency.term_deltas_of_log(late, known))
+    for name, log in (("paths", paths), ("papers", papers)):
+        for part, rows in zip(("early", "late"), _batches(log)):
+            frequency.deliver(store, rows, f"{name}-{part}")
     return store
 
 
@@ -64,10 +61,8 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 def _pair_store(spark: SparkSession, d: str):
     log = with_codes(table(spark, d, "papers_with_citations").select("id", "categories", "ingested_at"), table(spark, d, "category_aliases"), "categories", "items")
     store = pairs.open_store(spark, fresh_path(spark, "pairs"))
-    early, late = _batches(log.select("id", F.col("ingested_at").alias("at"), "items"))
-    known = materialise(standing_of_log(early.where("id is not null"), ["id"], "at", "items"), "known")
-    store.merge(pairs.pair_deltas_of_snapshots(None, known))
-    store.merge(pairs.pair_deltas_of_log(late, known))
+    for part, rows in zip(("early", "late"), _batches(log.select("id", F.col("ingested_at").alias("at"), "items"))):
+        pairs.deliver(store, rows, part)
     return store
 
 
