@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ROOT
 from ..session import materialise
-from .ranks import numbered, running_sum
+from .ranks import first, numbered, running_sum
 
 
 def weight() -> Column:
@@ -111,7 +111,7 @@ def post_process(e: DataFrame, absolute: float = 0.0, relative: float = 1.0, loo
 
 def top_edges(e: DataFrame, k: int) -> DataFrame:
     """The k heaviest edges; ties by source and target."""
-    return e.orderBy(F.desc("weight"), "src", "dst").limit(k)
+    return first(e, k, F.desc("weight"), "src", "dst")
 
 
 def non_edges(titles: DataFrame, e: DataFrame, factor: int = 10, seed: int = 0) -> DataFrame:
@@ -135,4 +135,4 @@ def non_edges(titles: DataFrame, e: DataFrame, factor: int = 10, seed: int = 0)
     a = number.select(F.col("n").alias("i"), F.col("title").alias("src"))
     b = number.select(F.col("n").alias("j"), F.col("title").alias("dst"))
     free = pairs.join(a, "i").join(b, "j").join(have, ["src", "dst"], "left_anti")
-    return free.orderBy(F.xxhash64("slot", F.lit(seed + 1)), "slot").limit(want).select("src", "dst")
+    return first(free, want, F.xxhash64("slot", F.lit(seed + 1)), "slot").select("src", "dst")

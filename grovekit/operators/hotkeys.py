@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..session import forget, materialise
 
 BINS = 64
+#: A key's distinct values are dealt to so many groups by hash, each of which meets the key's goals.
+SALTS = 64
 
 
 def key_totals(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -33,6 +35,8 @@ def exact_quantiles(rows: DataFrame, key: str, value: str, qs: Sequence[float],
     rank = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n_values"))).cast("long")
     goal = t.where("n_values > 0").select(F.col(key).alias("k"), F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"), "n_values", "lo", "hi").select("k", "q", rank.alias("rank"), "lo", "hi")
     goal = materialise(goal, "goal")
+    data = data.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
     done = None
     while True:
         got = goal.where("lo = hi").select("k", "q", F.col("lo").alias("v"))
@@ -42,7 +46,7 @@ def exact_quantiles(rows: DataFrame, key: str, value: str, qs: Sequence[float],
             break
         bin_ = F.least(F.lit(BINS - 1), F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS)).cast("int")
         hist = (
-            data.join(goal, "k").where("v between lo and hi").withColumn("bin", bin_)
+            data.join(goal.select("*", salts), ["k", "salt"]).where("v between lo and hi").withColumn("bin", bin_)
             .groupBy("k", "q", "rank", "bin").agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         )
         per = F.array_sort(F.collect_list(F.struct("bin", "c", "lo", "hi")))  # at most BINS bins

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import numbered
+from .ranks import first, numbered
 
 
 def node_pages(cats: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,7 +37,7 @@ def pages_with_categories(refs: DataFrame) -> DataFrame:
     return refs.groupBy("page_id").agg(text.alias("t"), F.array_sort(F.collect_set("node_id")).alias("categories")).select("page_id", "t.title", "t.abstract", "categories")
 
 
-def text_batches(pages: DataFrame, key: str, text: str, size: int = 1000, parts: int = 64) -> DataFrame:
+def text_batches(pages: DataFrame, key: str, text: str, size: int = 1000, parts: int | None = None) -> DataFrame:
     """``(batch, text)``: texts in order of the key, ``size`` to a batch, joined by line breaks.
 
     Keys are numbered from counts by range, so no task orders all of them.
@@ -64,4 +64,4 @@ def few_shot(rows: DataFrame, key: str, examples: DataFrame, k: int, seed: int =
 
 def drawn(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows in a seeded random order."""
-    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}"))), key).limit(n)
+    return first(rows, n, F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}"))), key)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..graph import TaxoGraph
 from ..session import materialise
+from .ranks import first
 
 
 #: Graphs of up to this many links are walked in one task (about 150 bytes a link); larger ones level by level.
@@ -73,7 +74,7 @@ def depth_split(g: TaxoGraph, depth: int, share: float, seed: int = 0) -> tuple[
     longest = dist.agg(F.max("depth")).first()[0] or 0
     level = dist.where(F.col("depth") == depth).select("id")
     k = int(share * level.count())
-    test = materialise(level.orderBy(hash_order(F.col("id"), seed), "id").limit(k), "test")
+    test = materialise(first(level, k, hash_order(F.col("id"), seed), "id"), "test")
     train = level.join(test, "id", "left_anti")
     above = dist.where(F.col("depth") < depth).select("id")
     return tuple(g.induced(bfs(g.edges, side, max(longest - depth, 0)).select("id").union(above).distinct()) for side in (test, train))
@@ -93,12 +94,13 @@ def edge_depths(edges: DataFrame, dist: DataFrame) -> DataFrame:
 
 def simple_paths(edges: DataFrame, root: str, most_nodes: int) -> DataFrame:
     """``(node, path)``: every path without a repeated node from the root, of up to ``most_nodes`` nodes; the root's own included."""
-    e = edges.select("src", "dst").distinct()
+    e = materialise(edges.select("src", "dst").distinct(), "edges")
     spark = e.sparkSession
     front = spark.createDataFrame([(root, [root])], "node string, path array<string>")
     out = front
     for _ in range(most_nodes - 1):
-        front = front.join(e, front.node == e.src).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        longer = front.join(e, front.node == e.src).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        front = materialise(longer, "front")  # else each level would be planned and run again for all behind it
         out = out.unionByName(front)
     return out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -254,11 +256,11 @@ def _category_seeds(links: DataFrame) -> DataFrame:
     return links.select(F.col("src").alias("id")).distinct().join(links.select(F.col("dst").alias("id")), "id", "left_anti")
 
 
-@query(f"with recursive {_DEEP}, r as (select id, 0 as depth from seeds union select dst, depth + 1 from r join e on r.id = e.src where depth < 25) select id, min(depth) as depth from r group by 1")
+@query(f"with recursive {_DEEP}, r as (select id, 0 as depth from seeds union select dst, depth + 1 from r join e on r.id = e.src where depth < (select count(*) from cats)) select id, min(depth) as depth from r group by 1")
 def bfs_depth(spark, d):
     """Steps from the nearest category that has no parent."""
     links = category_links(spark, d)
-    return traverse.bfs(links, _category_seeds(links), 25)
+    return traverse.bfs(links, _category_seeds(links))
 
 
 @query(f"with recursive {_DEEP}, r as (select id, 0 as depth from seeds union select dst, depth + 1 from r join e on r.id = e.src where depth < 2), k as (select distinct id from r) select src, dst from e where src in (select id from k) and dst in (select id from k)")
@@ -463,41 +465,24 @@ def graph_prf(spark, d):
     return _rounded(metrics.graph_prf(n, e, even, e.join(even.select(F.col("id").alias("src")), "src", "left_semi").join(even.select(F.col("id").alias("dst")), "dst", "left_semi")))
 
 
-def _motif_sql(rest: int) -> str:
+def _motif_sql(name: str, source: str) -> str:
     code = lambda p: " + ".join(f"{1 << i} * l{p[a]}{p[b]}" for i, (a, b) in enumerate([(0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1)]))
-    import itertools
-
     least = ", ".join(code(p) for p in itertools.permutations(range(3)))
     link = lambda a, b: f"max(case when s.src = {a} and s.dst = {b} then 1 else 0 end)"
-    return f"""s{rest} as (select src, dst from g where weight::bigint % 4 = {rest} and src <> dst), n{rest} as (select src as id from s{rest} union select dst from s{rest}),
-u{rest} as (select x.id as a, y.id as b, z.id as c, {', '.join(f'{link(f"{p}.id", f"{q}.id")} as l{i}{j}' for i, p in enumerate('xyz') for j, q in enumerate('xyz') if i != j)}
-  from n{rest} x join n{rest} y on x.id < y.id join n{rest} z on y.id < z.id join s{rest} s on s.src in (x.id, y.id, z.id) and s.dst in (x.id, y.id, z.id) group by 1, 2, 3),
-m{rest} as (select least({least}) as motif, count(*) as n from u{rest} where greatest(l01, l10) + greatest(l02, l20) + greatest(l12, l21) >= 2 group by 1)"""
-
+    return f"""s{name} as (select src, dst from {source} where src <> dst), n{name} as (select src as id from s{name} union select dst from s{name}),
+u{name} as (select x.id as a, y.id as b, z.id as c, {', '.join(f'{link(f"{p}.id", f"{q}.id")} as l{i}{j}' for i, p in enumerate('xyz') for j, q in enumerate('xyz') if i != j)}
+  from n{name} x join n{name} y on x.id < y.id join n{name} z on y.id < z.id join s{name} s on s.src in (x.id, y.id, z.id) and s.dst in (x.id, y.id, z.id) group by 1, 2, 3),
+m{name} as (select least({least}) as motif, count(*) as n from u{name} where greatest(l01, l10) + greatest(l02, l20) + greatest(l12, l21) >= 2 group by 1)"""
 
-def _quarter(spark, d, rest):
-    return nation_graph(spark, d).where(F.col("weight").cast("long") % 4 == rest)
 
-
-@query(f"with {_NATION}, {_motif_sql(0)} select motif, n from m0")
+@query(f"with {_NATION}, {_motif_sql('g', 'g')} select motif, n from mg")
 def motif_census(spark, d):
-    """Triples among nation links whose weight is a multiple of four."""
-    return motif.census(_quarter(spark, d, 0))
-
-
-@query(f"with {_NATION}, {_motif_sql(0)}, {_motif_sql(1)} select round(sum(abs(coalesce(m0.n, 0) / (select sum(n) from m0) - coalesce(m1.n, 0) / (select sum(n) from m1))) / 2, 6) as motif_dist from m0 full join m1 on m0.motif = m1.motif")
-def motif_distance(spark, d):
-    return motif.distance(motif.census(_quarter(spark, d, 0)), motif.census(_quarter(spark, d, 1))).select(F.round("motif_dist", 6).alias("motif_dist"))
-
-
-@query()
-def motif_census_whole(spark, d):
     """Triples among all nation links."""
     return motif.census(nation_graph(spark, d))
 
 
-@query()
-def motif_distance_pruned(spark, d):
+@query(f"with {_POST}, {_motif_sql('g', 'g')}, {_motif_sql('p', 'post')} select round(sum(abs(coalesce(mg.n, 0) / (select sum(n) from mg) - coalesce(mp.n, 0) / (select sum(n) from mp))) / 2, 6) as motif_dist from mg full join mp on mg.motif = mp.motif")
+def motif_distance(spark, d):
     """Between all nation links and those that pruning leaves."""
     g = materialise(nation_graph(spark, d), "graph")
     return motif.distance(motif.census(g), motif.census(edges.post_process(g, 0.2, 0.9))).select(F.round("motif_dist", 6).alias("motif_dist"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -9,14 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where it is unset, a local one of ours."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder of ours on this machine that goes when the driver ends, but only if all runs on this
+    machine (master ``local``); on a cluster it must be set.
+    """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
         got = sc._jsc.sc().getCheckpointDir()
         base = got.get() if got.isDefined() else None
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="grovekit-")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="grovekit-")
+        atexit.register(shutil.rmtree, own, True)
+        base = "file://" + own
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 

@@ -31,16 +31,3 @@ def test_query_agrees_with_sql(spark, name):
 @pytest.mark.skipif(not Path(D).exists(), reason="no test tables")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-
-
-@pytest.mark.skipif(not Path(D).exists(), reason="no test tables")
-def test_motifs_of_the_whole_graph(spark):
-    from itertools import combinations
-
-    from grovekit.plans import reference_queries as q
-
-    links = {(r.src, r.dst) for r in q.nation_graph(spark, D).collect() if r.src != r.dst}
-    near = {frozenset(x) for x in links}
-    want = sum(sum(frozenset(x) in near for x in combinations(t, 2)) >= 2 for t in combinations(sorted({n for x in links for n in x}), 3))
-    assert sum(r.n for r in entry.queries()["motif_census_whole"](spark, D).collect()) == want
-    assert 0 <= entry.queries()["motif_distance_pruned"](spark, D).first()[0] <= 1
