@@ -112,6 +112,7 @@ _FORMAT = (
 )
 _ARTICLE = "### ARTICLE ###\nTitle: {title}\n{abstract}\n### END ARTICLE ###\n"
 _OPEN = "The following is an article's title and abstract. "
+_CONCEPTS = _OPEN + "Suggest the categories that this article belongs to. A category is typically represented by a word or a short phrase, representing broader topics/concepts that the article is about. You should include both general and specific categories.\n\n"
 
 
 def _fill(template: str, **columns: Column) -> Column:
@@ -159,8 +160,7 @@ def second_round_prompt() -> str:
 
 
 def concept_prompt(title: Column, abstract: Column) -> Column:
-    ask = _OPEN + "Suggest the categories that this article belongs to. A category is typically represented by a word or a short phrase, representing broader topics/concepts that the article is about. You should include both general and specific categories.\n\n"
-    return _fill(ask + _ARTICLE + "\nGive your answer as a comma-separated string.\n", title=title, abstract=abstract)
+    return _fill(_CONCEPTS + _ARTICLE + "\nGive your answer as a comma-separated string.\n", title=title, abstract=abstract)
 
 
 def chat(messages: Column, bos: str = "<s>", eos: str = "</s>") -> Column:

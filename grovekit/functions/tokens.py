@@ -63,6 +63,11 @@ def pad(ids: Column, mask: Column, length: Column, pad_id: int) -> tuple[Column,
     return i, m, F.zip_with(i, m, lambda a, b: F.when(b, F.lit(-100)).otherwise(a))
 
 
+def with_reject(df: DataFrame, ids: str, most: int) -> DataFrame:
+    """``df`` with ``reject``: why a sequence can't be used (``no tokens`` for null, ``too long`` beyond ``most``), or null."""
+    return df.withColumn("reject", F.when(F.col(ids).isNull(), "no tokens").when(F.size(ids) > most, "too long"))
+
+
 def mask_tokens(df: DataFrame, key: str, ids: str, mark: Sequence[int], arrow: int, newline: int, eos: int, words: dict[int, str], weights: dict[tuple[str, str], float], seed: int = 0) -> DataFrame:
     """``(key, ids, ignores, ignores_detailed)``; sequences without masks are left out.
 

@@ -114,6 +114,25 @@ def top_edges(e: DataFrame, k: int) -> DataFrame:
     return first(e, k, F.desc("weight"), "src", "dst")
 
 
+def top_pairs(titles: DataFrame, scores: DataFrame, factor: int = 10) -> DataFrame:
+    """The ``min(factor * N, N * N)`` highest of all pairs of N titles; ties by source and target.
+
+    Pairs without a score above 0 count as 0.  They are not all built: those that can be needed begin with the first sources, as
+    many as fill the wanted number beside all pairs scored.  Scores are of distinct pairs of ``titles(title)``, none below 0.
+    """
+    t = materialise(titles.select("title").where("title is not null").distinct(), "titles")
+    n = t.count()
+    want = min(factor * n, n * n)
+    s = materialise(scores.select("src", "dst", weight().alias("weight")).where("weight > 0"), "scores")
+    high = first(s, want, F.desc("weight"), "src", "dst")
+    missing = want - min(want, s.count())
+    if not missing:
+        return high
+    sources = first(t, -(-(missing + s.count()) // n), "title").withColumnRenamed("title", "src")
+    zero = sources.join(t.withColumnRenamed("title", "dst")).join(s.select("src", "dst"), ["src", "dst"], "left_anti")  # factor * N, the scored and N pairs at most
+    return high.unionByName(first(zero, missing, "src", "dst").select("src", "dst", F.lit(0.0).alias("weight")))
+
+
 def non_edges(titles: DataFrame, e: DataFrame, factor: int = 10, seed: int = 0) -> DataFrame:
     """``factor`` times as many pairs of titles that are no edges as there are edges, drawn by hash; self pairs may occur.
 

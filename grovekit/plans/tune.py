@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ROOT
 from ..operators.assign import best_sum
+from ..operators import metrics, motif
 from ..operators.metrics import MOST_STEPS, affordable, edge_vectors
 from ..session import materialise
 from ..operators.edges import nucleus_limits, ranked, running_shares, weight
@@ -119,6 +120,27 @@ def search(e: DataFrame, truth: DataFrame, embeddings: DataFrame, absolute: list
     return out.select("seq", "absolute_percentile", "relative_percentile", "edges", *[F.when(empty, F.lit(0.0)).otherwise(F.col(c)).alias(c) for c in SCORES])
 
 
+def evaluate(predicted: DataFrame, truth: DataFrame, embeddings: DataFrame, threshold: float = 0.436, hops: int = 2, most: int = MOST_STEPS) -> DataFrame:
+    """One row of 15 figures of titled edges against true ones: numbers of nodes and edges, precision, recall and F1 each by literal,
+    continuous, fuzzy and graph matching, and the distance of motifs.  Figures of assignments beyond ``most`` are null."""
+    e, t = materialise(predicted.select("src", "dst").distinct(), "edges"), materialise(truth.select("src", "dst").distinct(), "truth")
+
+    def nodes(x: DataFrame) -> DataFrame:
+        ids = x.select(F.col("src").alias("id")).union(x.select("dst")).distinct()
+        return ids.join(embeddings.select(F.col("title").alias("id"), "embed"), "id")
+
+    beside = lambda a, b: a.withColumn("_one", F.lit(1)).join(F.broadcast(b.withColumn("_one", F.lit(1))), "_one").drop("_one")  # noqa: E731  # one row each
+    row = beside(e.agg(F.count(F.lit(1)).alias("num_edges")), e.select("src").union(e.select("dst")).distinct().agg(F.count(F.lit(1)).alias("num_nodes")))
+    kinds = {
+        "literal": metrics.literal_prf(e, t), "continuous": metrics.continuous_prf(e, t, embeddings, most), "fuzzy": metrics.fuzzy_prf(e, t, embeddings, threshold),
+        "graph": metrics.graph_prf(nodes(e), e, nodes(t), t, hops, most),
+    }
+    for name, got in kinds.items():
+        row = beside(row, got.select(*[F.col(c).alias(f"{name}_{c}") for c in ("precision", "recall", "f1")]))
+    row = beside(row, motif.distance(motif.census(e), motif.census(t)).select("motif_dist"))
+    return row.select("num_nodes", "num_edges", *[f"{k}_{c}" for k in kinds for c in ("precision", "recall", "f1")], "motif_dist")
+
+
 def best(results: DataFrame, metric: str) -> DataFrame:
     """The point of the highest metric, the first on ties."""
     return results.orderBy(F.desc_nulls_last(metric), "seq").limit(1)
