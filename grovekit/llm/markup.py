@@ -44,7 +44,7 @@ _ARGS = r"(?:\[[^\[\]\n]*\])?\{(?:[^{}]|\{[^{}]*\})*\}"
 _PARTS = [
     ("comment", r"<!--[\s\S]*?-->|<!--|<!DOCTYPE[^>]*>|<!\[CDATA\[[\s\S]*?\]\]>|<\?xml[^>]*\?>"),
     ("code", r"```[^\n`]*\n[\s\S]*?(?:\n[ \t]*```|\Z)|<pre\b[^<>]*>[\s\S]*?</pre\s*>|<(?:code|tt|source|syntaxhighlight)\b[^<>]*>[\s\S]*?</(?:code|tt|source|syntaxhighlight)\s*>|\\begin\{(?:" + _CODE + r")\}[\s\S]*?\\end\{(?:" + _CODE + r")\}|```|(?<![`\\])`[^`\n]+`(?!['`])"),
-    ("formula", r"\\begin\{(?P<env>" + _ENV + r")\*?\}[\s\S]*?\\end\{(?P=env)\*?\}|\$\$[^$]+\$\$|\\\[[\s\S]+?\\\]|\\\([\s\S]+?\\\)|<math\b[^<>]*>[\s\S]*?</math\s*>|(?<![\\$\w])\$(?=[^\s$])[^$\n]{0,400}?(?<=[^\s\\$])\$(?![\d$])"),
+    ("formula", r"\\begin\{(?P<env>" + _ENV + r")\*?\}[\s\S]*?\\end\{(?P=env)\*?\}|\$\$[^$]+\$\$|\\\[[\s\S]+?\\\]|\\\([\s\S]+?\\\)|<math\b[^<>]*>[\s\S]*?</math\s*>|(?<![\\$\w])\$(?=[^\s$])[^$\n]*?(?<=[^\s\\$])\$(?![\d$])"),
     ("template", r"\{\{(?:[^{}]|\{\{[^{}]*\}\}|\{(?!\{)|\}(?!\}))*\}\}|\{\{(?=\w)|(?<=\w)\}\}"),
     ("wikitable", r"\{\|[\s\S]*?\n[ \t]*\|\}|\{\|[^\n]*|^[ \t]*\|[}\-+][^\n|]*$"),
     ("redirect", r"#REDIRECT\b"),
@@ -71,6 +71,8 @@ GRAMMAR = re.compile("|".join(f"(?P<{n}>{p})" for n, p in _PARTS), re.MULTILINE
 START = re.compile(r"^|[<&$\\{}\[|*_~`'#!]", re.MULTILINE)
 #: A field without any of these signs holds no markup and is not read further.
 SIGNS = r"[<&$\\{}\[\]|*_~`'#=>]|(?m:^[ \t]*[-+:;][ \t])|(?m:^[ \t]*1[.)][ \t])|(?m:^[ \t]*(?:[-][ \t]*){3,}$)"
+#: Markup nested deeper stays as it is; each level takes a few frames of the interpreter's stack.
+DEPTH = 150
 FAMILY = {
     "comment": "html", "tag": "html", "entity": "html", "code": "code", "formula": "math", "template": "wiki", "wikitable": "wiki", "redirect": "wiki", "wikilink": "wiki",
     "extlink": "wiki", "mdlink": "markdown", "heading": "heading", "rule": "markdown", "table": "table", "quote": "markdown", "ordered": "list", "item": "list", "strong": "markdown",
@@ -95,7 +97,7 @@ class Reading:
         self.kinds[kind] = self.kinds.get(kind, 0) + 1
 
     def read(self, text: str, depth: int) -> str:
-        if depth > 12:
+        if depth > DEPTH:
             return text
         out, last = [], 0
         pos = 0

@@ -168,10 +168,20 @@ _WORDS = rf"""with s as (select id, case when lower(trim(regexp_replace(split, '
   where lower(trim(regexp_replace(split, '{_SPACE}', ' ', 'g'))) in ('train', 'eval', 'test') and regexp_replace(title, '{_SPACE}', '', 'g') <> '' and regexp_replace(abstract, '{_SPACE}', '', 'g') <> ''),
 c as (select id, side, w, len(w) as n from s where len(w) > 0), x as (select id, side, n, unnest(w) as word from c), k as (select id, side, n, word, row_number() over (partition by id, word) as k from x),
 pairs as (select t.id as a, e.id as b from k t join k e on t.word = e.word and t.k = e.k and t.side = 1 and e.side = 2 and least(t.n, e.n) * 5 >= greatest(t.n, e.n) * 4 group by t.id, e.id, t.n, e.n having count(*) * 5 >= 4 * greatest(t.n, e.n))"""
+_CAT = "(select * from (select *, row_number() over (partition by id order by fetched_at desc nulls last) rn from raw_categories where id is not null) where rn = 1)"
+_GROUPS = f"""with recursive rk as (select distinct 'category' as kind, id::varchar as id, s.id::varchar as key from (select id, unnest(sub_categories) s from {_CAT} c) where s.id is not null
+  union select 'sample', id, {_KEY} from (select id, p[len(p)] as t from (select id, unnest(paths) p from {_LIN} l) where len(p) >= 2) where {_KEY} is not null),
+kk as (select distinct a.kind, a.key as s, b.key as t from rk a join rk b on a.kind = b.kind and a.id = b.id),
+reach as (select kind, s, t from kk union select reach.kind, reach.s, kk.t from reach join kk on kk.kind = reach.kind and kk.s = reach.t),
+g as (select kind, s as key, min(t) as group_key from reach group by 1, 2), r as (select distinct kind, id, group_key from rk join g using (kind, key))"""
+_RUNS = r"""with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null), i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_items where text is not null),
+dg as (select doc_id, array_to_string(w[k:k + 14], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 13)) as k from d where len(w) >= 15)), ig as (select item_id, array_to_string(w[k:k + 14], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 13)) as k from i where len(w) >= 15))"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": f"{_GROUPS} select kind, id, group_key from r where (kind, group_key) in (select kind, group_key from r group by 1, 2 having count(*) > 1)",
+        "p9_found": f"{_RUNS} select distinct doc_id, item_id from dg join ig using (g)",
         "p2_found": f"{_WORDS} select least(a, b) as id_a, greatest(a, b) as id_b from pairs",
         "p1_found": f"{_TERMS} select field, term, mark from marked where mark <> ''",
         "p1_counts": f"{_TERMS} select field, term, occurrences, records, mark from marked",
