@@ -1,8 +1,8 @@
 """Records of evaluation splits that also stand, exactly or almost, in the training split (problem 2).
 
-Method: the sparse suffix array of :mod:`.suffixes`.  Adjacent suffixes of the two splits give shared spans; merged, these
-give how much of each record the training split covers, and records that one training record covers by half are proposed
-as pairs.  Words in common may stand in any order, so spans alone can't find all pairs; an exact prefix filter proposes
+Method: the sparse suffix array of :mod:`.suffixes`.  Adjacent suffixes of the two splits give shared spans, and records that
+one training record covers by half are proposed as pairs.  How much of each record the training split covers is counted
+from all runs of words that the two share, and not from the array's sampled suffixes.  Words in common may stand in any order, so spans alone can't find all pairs; an exact prefix filter proposes
 the rest: the words of a text, counted with repetition, are tokens (word, how manieth), put into one order for all texts,
 rare words first.  Texts of n and m words with four fifths of the longer's in common have their first common token among
 the first ``n // 5 + 1`` of one and the first ``m // 5 + 1`` of the other, so every pair meets under one of these as a
@@ -38,9 +38,8 @@ HOT_PAIRS = 100_000_000
 #: Parity bits of a text.
 BITS = 256
 _BITS = [f"b{k}" for k in range(BITS // 64)]
-#: Words are ordered, and keys that need blocks are told, by their number in one of so many texts, words in this many cells by hash;
-#: results don't depend on it.
-SEEN, CELLS = 4, 1 << 20
+#: Words are ordered by their number in all texts, counted in this many cells by hash; results don't depend on it.
+CELLS = 1 << 20
 #: Pairs sifted at once.
 AT_ONCE = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -90,6 +89,32 @@ def _filing(often: np.ndarray):
     return run
 
 
+def _often_filed(often: np.ndarray, block: int):
+    """Rows ``(side, words)`` to ``(key, side)``: of the keys that :func:`_filing` gives, those of words that stand more than ``block`` times in all texts.
+
+    No other key can have more than ``block`` texts.  As rare words come first, texts with enough of them to be filed under need no sorting.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            words, offsets = flat(b.column(1))
+            counts = np.diff(offsets)
+            rare = np.add.reduceat((often[(words % np.uint64(CELLS)).astype(np.int64)] <= block).astype(np.int64), offsets[:-1])
+            some = rare <= counts // 5
+            words, rare, side = words[np.repeat(some, counts)], rare[some], np.asarray(b.column(0), np.int64)[some]
+            counts = counts[some]
+            if not len(counts):
+                continue
+            with np.errstate(over="ignore"):
+                rec, tok, place = _tokens(words, np.concatenate([[0], np.cumsum(counts)]), often)
+            at = np.flatnonzero((place >= rare[rec]) & (place <= counts[rec] // 5))
+            yield pa.RecordBatch.from_arrays([pa.array(tok[at].view(np.int64)), pa.array(side[rec[at]])], names=["key", "side"])
+
+    return run
+
+
 def _sift(t: list[np.ndarray], e: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one key's training and evaluation rows ``(ref, words, b0, ...)`` that may have four fifths in common."""
     t, e = ([c[o] for c in x] for x in (t, e) for o in [np.argsort(x[1], kind="stable")])
@@ -144,19 +169,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _near(reps: DataFrame) -> DataFrame:
     """``(ref_t, ref_e)``: all pairs of texts ``(ref, class, side, w)``, w their word hashes, with four fifths of their words in common, and a few others."""
     spark = reps.sparkSession
-    few = F.pmod(F.col("class.ref"), F.lit(SEEN)) == 0
-    seen = reps.where(few).select("w")
-    got = seen.mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    got = reps.select("w").mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(CELLS, np.int64)
     often[got["cell"].to_numpy()] = got["n"].to_numpy()
     told = spark.sparkContext.broadcast(often)
-    file = lambda texts: texts.select("ref", "side", "w").mapInArrow(lambda b: _filing(told.value)(b), "key long, ref long, meta long, " + ", ".join(f"{c} long" for c in _BITS))
-    filed = file(reps)
+    filed = reps.select("ref", "side", "w").mapInArrow(lambda b: _filing(told.value)(b), "key long, ref long, meta long, " + ", ".join(f"{c} long" for c in _BITS))
     side = F.col("meta").bitwiseAND(3)
     here = F.explode(F.when(side == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(side.cast("int"))))
     block = max(1, math.isqrt(HOT_PAIRS))
-    number = lambda k: (F.count(F.when(side.bitwiseAND(k) > 0, 1)) * SEEN)
-    hot = file(reps.where(few)).groupBy("key").agg(number(1).alias("nt"), number(2).alias("ne")).where(f"nt > 0 and ne > 0 and (nt > {block} or ne > {block})")
+    number = lambda k: F.count(F.when(F.col("side").bitwiseAND(k) > 0, 1))
+    hot = reps.select("side", "w").mapInArrow(lambda b: _often_filed(told.value, block)(b), "key long, side long").groupBy("key").agg(number(1).alias("nt"), number(2).alias("ne")).where(f"nt > 0 and ne > 0 and (nt > {block} or ne > {block})")
     hot = materialise(hot.select("key", F.ceil(F.col("nt") / block).cast("int").alias("bt"), F.ceil(F.col("ne") / block).cast("int").alias("be")), "hot")
     rows = filed.join(F.broadcast(hot), "key", "left").select("*", here.alias("mine"))
     # a row stands in its own block, once for each block of the other side
@@ -188,16 +210,24 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Overlaps(NamedTuple):
-    """pairs (class_t, class_e, common, longer), members (class, id, side, split, ...), coverage (class, words, covered)."""
+    """pairs (class_t, class_e, common, longer), members (class, id, side, split, ...), texts (ref, class, side, norm, w)."""
 
     pairs: DataFrame
     members: DataFrame
-    coverage: DataFrame
+    texts: DataFrame
+
+    @property
+    def coverage(self) -> DataFrame:
+        """``(class, words, covered)``: words of each evaluation text that shares any, and those that lie in shared runs; made anew at each call."""
+        n = F.size("w").cast("long")
+        got = suffixes.covered(suffixes.shared_runs(self.texts), "ref_e")
+        got = got.join(self.texts.where("side = 2").select(F.col("ref").alias("ref_e"), "class"), "ref_e").select("class", "words", "covered")
+        return got.unionByName(self.texts.where("side = 3").select("class", n.alias("words"), n.alias("covered")))
 
 
 def overlaps(samples: DataFrame, key: str = "id", split: str = "split", texts: tuple[str, ...] = ("title", "abstract"), at: str | None = None, keep: tuple[str, ...] = ()) -> Overlaps:
     """Pairs of texts of training and evaluation samples with at least four fifths of their words in common; members of every
-    text with both sides' samples; and words of each evaluation text that lie in spans shared with the training split.
+    text with both sides' samples; and the texts, of which the words are counted that lie in runs shared with the training split.
 
     Splits are trimmed and in lower case: ``train`` against ``eval`` and ``test``.  Samples with another or no split, a null
     or blank text or a text without words are left out; a text that both sides hold is a pair with itself, and covered as a
@@ -223,8 +253,7 @@ def overlaps(samples: DataFrame, key: str = "id", split: str = "split", texts: t
     hashes = F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
     reps = reps.dropDuplicates(["id", "class"]).select(F.monotonically_increasing_id().alias("ref"), "class", "side", "norm", hashes.alias("w"))
     reps = materialise(reps, "texts")
-    shared = materialise(suffixes.spans(reps), "spans")
-    proposed = suffixes.covered(shared, "ref_t", "ref_e").where("covered * 2 >= words").select("ref_t", "ref_e")
+    proposed = suffixes.covered(suffixes.spans(reps), "ref_t", "ref_e").where("covered * 2 >= words").select("ref_t", "ref_e")
     near = materialise(_near(reps).union(proposed).distinct(), "near")
     refs = near.select(F.col("ref_t").alias("ref")).union(near.select("ref_e")).distinct()
     refs = materialise(refs, "refs")
@@ -236,9 +265,7 @@ def overlaps(samples: DataFrame, key: str = "id", split: str = "split", texts: t
     n = F.size(F.split("norm", " "))
     both = reps.where("side = 3")
     same = both.select(F.col("class").alias("class_t"), F.col("class").alias("class_e"), n.alias("common"), n.alias("longer"))
-    coverage = suffixes.covered(shared, "ref_e").join(reps.where("side = 2").select(F.col("ref").alias("ref_e"), "class"), "ref_e").select("class", "words", "covered")
-    coverage = coverage.unionByName(both.select("class", n.cast("long").alias("words"), n.cast("long").alias("covered")))
-    return Overlaps(materialise(checked.unionByName(same), "pairs"), members, coverage)
+    return Overlaps(materialise(checked.unionByName(same), "pairs"), members, reps)
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:

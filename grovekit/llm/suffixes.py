@@ -7,8 +7,11 @@ leading words, then by those that follow and by those ahead, nearest first.  Nex
 the training suffixes with the longest common prefix; that prefix, and what the two have in common ahead of it, is a
 shared span.  The ends of each range are told to all, so a run of equal suffixes may lie in any number of ranges.
 
-Suffixes that no text of the other side can share are left out beforehand, by bit tables of fixed size (``CELLS``); these
-let some pass that need not, and never stop one that must.
+How much of a text the other side holds is counted from all its runs of ``LENGTH`` words and not from the sampled ones
+(:func:`shared_runs`).
+
+Suffixes and runs that no text of the other side can share are left out beforehand, by bit tables of fixed size (``CELLS``);
+these let some pass that need not, and never stop one that must.
 """
 
 from __future__ import annotations
@@ -50,6 +53,22 @@ def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(lists.values, np.int64).view(np.uint64)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _hashed(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs, those across two texts too."""
+    n = len(words) - LENGTH + 1
+    return scramble(sum((words[i : i + n] * _MIX[i] for i in range(LENGTH)), np.zeros(n, np.uint64)))
+
+
+def runs(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, at, key)`` of all runs of ``LENGTH`` words."""
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    n = len(words) - LENGTH + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.flatnonzero(text[:n] == text[LENGTH - 1 :])
+    return text[at], at, _hashed(words)[at]
+
+
 def sampled(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(text, at, key)`` of the sampled suffixes; of texts with fewer than ``WINDOW`` runs all are."""
     counts = np.diff(offsets)
@@ -57,7 +76,7 @@ def sampled(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = len(words) - LENGTH + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    g = scramble(sum((words[i : i + n] * _MIX[i] for i in range(LENGTH)), np.zeros(n, np.uint64)))
+    g = _hashed(words)
     inside = text[:n] == text[LENGTH - 1 :]
     keep = (counts < LENGTH + WINDOW - 1)[text[:n]]
     m = n - WINDOW + 1
@@ -228,6 +247,44 @@ def spans(texts: DataFrame) -> DataFrame:
     return closed.unionByName(late)
 
 
+def shared_runs(texts: DataFrame) -> DataFrame:
+    """``(ref_e, words, lo, hi)``: every run of ``LENGTH`` words ``[lo, hi)`` of each evaluation text that a training text holds too.
+
+    ``texts`` as for :func:`spans`.  A shared span of any length from ``LENGTH`` on is the union of its runs; runs are told by
+    64 bits of hash.
+    """
+    spark = texts.sparkSession
+    train, held = texts.where("side in (1, 3)").select("w"), texts.where("side = 2").select("w", "ref")
+
+    def keys_of_texts(b: pa.RecordBatch) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return runs(*flat(b.column(0)))[2]
+
+    table = spark.sparkContext.broadcast(_table(held.mapInArrow(lambda b: _marks(b, keys_of_texts), "cell long, bits long")))
+
+    def of_train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = keys_of_texts(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(key[_has(table.value, key)]).view(np.int64))], names=["key"])
+
+    t = materialise(train.mapInArrow(of_train, "key long"), "runs")
+    back = spark.sparkContext.broadcast(_table(t.mapInArrow(lambda b: _marks(b, lambda x: np.asarray(x.column(0), np.int64).view(np.uint64)), "cell long, bits long")))
+
+    def of_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, offsets = flat(b.column(0))
+            with np.errstate(over="ignore"):
+                text, at, key = runs(words, offsets)
+            ok = _has(back.value, key)
+            text, at, key = text[ok], at[ok], key[ok]
+            lo = at - offsets[:-1][text]
+            cols = [key.view(np.int64), np.asarray(b.column(1), np.int64)[text], np.diff(offsets)[text], lo, lo + LENGTH]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "ref_e", "words", "lo", "hi"])
+
+    e = held.mapInArrow(of_held, "key long, ref_e long, words long, lo long, hi long")
+    return e.join(t, "key", "left_semi").drop("key")
+
+
 def covered(spans_: DataFrame, *by: str) -> DataFrame:
     """``(*by, words, covered)``: words of a text that lie in its spans; a text has no more spans than twice its words."""
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))

@@ -155,3 +155,54 @@ def test_packed_words_in_common():
         b[k:] += np.uint64(1)
         assert suffixes._common(pack(a), pack(b))[0] == k
     assert suffixes._common(pack(a[:3]), pack(a[:5]))[0] == 3
+
+
+def test_words_and_hot_keys_are_counted_in_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT_PAIRS", 4)  # blocks of two texts
+    told, tables = [], {}
+    sc, keep = spark.sparkContext, overlap.materialise
+    broadcast = sc.broadcast
+    monkeypatch.setattr(sc, "broadcast", lambda x: told.append(x) or broadcast(x))
+    monkeypatch.setattr(overlap, "materialise", lambda df, what="step": tables.setdefault(what, keep(df, what)))
+    rows = []
+    for i in range(12):  # of nine words the two rarest are keys: "hot", in 7 training and 5 evaluation texts, and its repetition in 3 and 2
+        side, of = (1, i) if i < 7 else (2, i - 7)
+        w = ["hot"] + ["hot"] * (of < 4 - side) + [f"all{k}" for k in range(8 - (of < 4 - side))]
+        rows.append((i, (4 * i + 1, 0), side, [hash_of(x) for x in w]))
+    rows += [(20 + i, (4 * i + 2, 0), 1, [hash_of(f"all{k}") for k in range(8)] * 3) for i in range(12)]
+    reps = spark.createDataFrame(rows, "ref long, class struct<ref:long,more:int>, side long, w array<long>")
+    overlap._near(reps)
+    often = np.zeros(overlap.CELLS, np.int64)
+    for *_, w in rows:
+        np.add.at(often, (np.array(w, np.int64).view(np.uint64) % np.uint64(overlap.CELLS)).astype(np.int64), 1)
+    assert np.array_equal(told[0], often)
+    keys = {}
+    for _, _, side, w in rows:
+        words = np.array(w, np.int64).view(np.uint64)
+        with np.errstate(over="ignore"):
+            _, tok, place = overlap._tokens(words, np.array([0, len(w)]), often)
+        for k in tok[place <= len(w) // 5].view(np.int64).tolist():
+            keys.setdefault(k, [0, 0])[side - 1] += 1
+    hot = {(k, -(-t // 2), -(-e // 2)) for k, (t, e) in keys.items() if t and e and max(t, e) > 2}
+    assert {tuple(r) for r in tables["hot"].collect()} == hot and {(t, e) for _, t, e in hot} >= {(4, 3), (2, 1)}
+
+
+def test_coverage_counts_all_shared_runs(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    train = [[f"t{rng.randrange(500)}" for _ in range(40)] for _ in range(30)]
+    rows += [(f"t{i}", "train", "Head", " ".join(w), "s") for i, w in enumerate(train)]
+    grams = {tuple(w[k : k + 5]) for t in train for w in [["head", *t]] for k in range(len(w) - 4)}
+    for i in range(40):
+        w = [f"own{i}x{k}" for k in range(30)]
+        for at in (3, 17):  # spans of 4 words don't count, those of 5 to 10 do
+            n, t = rng.randrange(4, 11), rng.choice(train)
+            k = rng.randrange(len(t) - n)
+            w[at : at + n] = t[k : k + n]
+        rows.append((f"e{i}", "eval", "Title", " ".join(w), "s"))
+        w = ["title", *w]
+        got = set().union(*(range(k, k + 5) for k in range(len(w) - 4) if tuple(w[k : k + 5]) in grams))
+        want[f"e{i}"] = len(got)
+    found = overlap.overlaps(spark.createDataFrame(rows, SCHEMA), keep=("source",))
+    got = {r.id: r.covered for r in found.members.where("side = 2").join(found.coverage, "class").collect()}
+    assert got == {k: n for k, n in want.items() if n} and len(got) > 30
